@@ -81,9 +81,10 @@ def pair_posts(posts, min_question_chars=10, min_answer_chars=32, share=1_000_00
     )
 
 
-def save_question_index(questions, table, buckets):
+def save_question_index(questions, table, buckets, path=None):
     """Keep the question side bucketed by id, so that later joins do not shuffle it."""
-    questions.write.mode("overwrite").bucketBy(buckets, "Id").sortBy("Id").saveAsTable(table)
+    writer = questions.write.mode("overwrite").bucketBy(buckets, "Id").sortBy("Id")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def join_pairs_by_shard(spark, question_table, shards, out, min_answer_chars=32):

@@ -32,7 +32,7 @@ def posts(spark, sf_dir):
             F.col("conv_id") % 4 != 0,
             F.concat(F.lit("tag"), (F.col("conv_id") % 7).cast("string"), F.lit(", lang")),
         ).alias("Tags"),
-        F.lit(0).cast("bigint").alias("Score"),
+        F.lit(0).alias("Score"),
     )
     a = conv.where("role = 'assistant'").select(
         _answer_id().alias("Id"), F.lit(2).alias("PostTypeId"), F.col("conv_id").alias("ParentId"),
@@ -40,7 +40,7 @@ def posts(spark, sf_dir):
         null.cast("string").alias("Tags"),
         F.when(
             F.col("turn") != 5, (F.length("text") * 7 + F.col("turn") * 3) % 11 - 3
-        ).cast("bigint").alias("Score"),
+        ).cast("int").alias("Score"),
     )
     return q.unionByName(a)
 

@@ -23,7 +23,7 @@ def posts_schema(tags=T.ArrayType(STRING)):
 def pairs_schema(tags=STRING):
     return _struct(
         ("question_id", LONG), ("title", STRING), ("question_body", STRING), ("tags", tags),
-        ("answer_id", LONG), ("answer_body", STRING), ("answer_score", LONG),
+        ("answer_id", LONG), ("answer_body", STRING), ("answer_score", INT),
     )
 
 
@@ -40,7 +40,7 @@ VOCAB = _struct(("token", STRING), ("id", INT))
 MERGES = _struct(("rank", INT), ("left", STRING), ("right", STRING))
 
 METRICS = _struct(
-    ("step", LONG), ("train_loss", DOUBLE), ("train_ppl", DOUBLE), ("lr", DOUBLE),
+    ("run_id", STRING), ("step", LONG), ("train_loss", DOUBLE), ("train_ppl", DOUBLE), ("lr", DOUBLE),
     ("val_loss", DOUBLE), ("val_ppl", DOUBLE),
 )
 

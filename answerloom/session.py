@@ -51,11 +51,10 @@ def path_exists(spark, path):
     return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
 
 
-def list_files(spark, folder, suffix=".parquet"):
-    """Sorted paths of the files (or dataset folders) directly below ``folder``."""
+def list_files(spark, folder):
+    """Sorted paths of the data files or dataset folders directly below ``folder``."""
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(folder)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(
-        s.getPath().toString() for s in fs.listStatus(hpath) if s.getPath().getName().endswith(suffix)
-    )
+    names = [s.getPath() for s in fs.listStatus(hpath)]
+    return sorted(p.toString() for p in names if p.getName()[0] not in "_.")

@@ -51,12 +51,12 @@ def read_single_report(spark, path):
 
 
 def append_metrics(records, path):
-    """Append training or validation records; missing columns become NULL."""
+    """Append training or validation records, one log folder per run."""
     columns = [
         (F.col(f.name) if f.name in records.columns else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in schemas.METRICS.fields
     ]
-    records.select(*columns).write.mode("append").json(path)
+    records.select(*columns).write.mode("append").partitionBy("run_id").json(path)
 
 
 def read_metrics(spark, path):
