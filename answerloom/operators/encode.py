@@ -1,6 +1,5 @@
 """Encoding texts to fixed-length id rows, and decoding ids back to text."""
 
-from functools import lru_cache
 from typing import Iterator
 
 import numpy as np
@@ -10,60 +9,100 @@ from pyspark.sql import functions as F, types as T
 
 from answerloom.functions.ids import pad_right
 from answerloom.functions.templates import pair_text
-from answerloom.operators.tokenizer import SPECIALS, segments, token_bytes
+from answerloom.operators.tokenizer import SPECIALS, every_other, segments, token_bytes
 
 IDS = T.ArrayType(T.IntegerType(), False)
-CACHED_WORDS = 200_000
-
-
-def _word_encoder(tokens, merges):
-    """A function from one word to its ids: lowest-rank merge first, left to right."""
-    ids = {t: i for i, t in enumerate(tokens)}
-    byte_ids = [ids["<unk>"]] * 256
-    for token, i in ids.items():
-        if token not in SPECIALS and len(token) == 1:
-            byte_ids[token_bytes(token)[0]] = i
-    ranks = {
-        (ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(merges)
-    }
-    none = (len(merges), None)
-
-    @lru_cache(maxsize=CACHED_WORDS)
-    def encode(word):
-        if word in SPECIALS:
-            return [ids[word]]
-        out = [byte_ids[b] for b in word.encode("utf-8")]
-        while len(out) > 1:
-            rank, pair = min((ranks.get(p, none)[0], p) for p in zip(out, out[1:]))
-            if rank == none[0]:
-                break
-            joined, i = [], 0
-            while i < len(out):
-                if i + 1 < len(out) and (out[i], out[i + 1]) == pair:
-                    joined.append(ranks[pair][1])
-                    i += 2
-                else:
-                    joined.append(out[i])
-                    i += 1
-            out = joined
-        return out
-
-    return encode
-
-
-def _encode_batch(words, encode):
+CACHED_WORDS = 500_000
+
+
+class _Words:
+    """Ids of all words met so far in one task, as flat arrays with one slot per word.
+
+    New words are encoded together: every round merges, in each word, the pair
+    of lowest rank at all its places, left to right, until no word has a pair left.
+    """
+
+    def __init__(self, tokens, merges):
+        self.ids = {t: i for i, t in enumerate(tokens)}
+        self.byte_ids = np.full(256, self.ids["<unk>"], np.int64)
+        for token, i in self.ids.items():
+            if token not in SPECIALS and len(token) == 1:
+                self.byte_ids[token_bytes(token)[0]] = i
+        self.base = len(tokens)
+        pairs = np.array(
+            [(self.ids[a] * self.base + self.ids[b], self.ids[a + b]) for a, b in merges],
+            np.int64,
+        ).reshape(-1, 2)
+        order = np.argsort(pairs[:, 0], kind="stable")
+        self.keys, self.ranks, self.joined = pairs[order, 0], order, pairs[:, 1]
+        self._forget()
+
+    def _forget(self):
+        self.slot = {}
+        self.flat, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def slots(self, words):
+        """Slot numbers of distinct words, after encoding those not met before."""
+        if len(self.slot) > CACHED_WORDS:
+            self._forget()
+        new = [w for w in words if w not in self.slot]
+        if new:
+            flat, sizes = self._encode(new)
+            first = len(self.slot)
+            self.slot.update((w, first + i) for i, w in enumerate(new))
+            self.flat = np.concatenate((self.flat, flat))
+            self.sizes = np.concatenate((self.sizes, sizes))
+        return np.fromiter((self.slot[w] for w in words), np.int64, len(words))
+
+    def _pair_ranks(self, symbols, word):
+        none = len(self.keys)
+        ranks = np.full(len(symbols), none, np.int64)
+        if none and len(symbols) > 1:
+            key = symbols[:-1] * self.base + symbols[1:]
+            at = np.minimum(np.searchsorted(self.keys, key), none - 1)
+            known = (self.keys[at] == key) & (word[:-1] == word[1:])
+            ranks[:-1][known] = self.ranks[at[known]]
+        return ranks
+
+    def _encode(self, words):
+        raw = [b"?" if w in SPECIALS else w.encode("utf-8") for w in words]
+        sizes = np.fromiter((len(r) for r in raw), np.int64, len(raw))
+        symbols = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        starts = np.cumsum(sizes) - sizes
+        for i, w in enumerate(words):
+            if w in SPECIALS:
+                symbols[starts[i]] = self.ids[w]
+        word = np.repeat(np.arange(len(words)), sizes)
+        done = []
+        while len(symbols):
+            ranks = self._pair_ranks(symbols, word)
+            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            best = np.repeat(
+                np.minimum.reduceat(ranks, first), np.diff(np.append(first, len(word)))
+            )
+            open_words = best < len(self.keys)
+            done.append((symbols[~open_words], word[~open_words]))
+            hit = (ranks == best)[open_words]
+            symbols, word, ranks = symbols[open_words], word[open_words], ranks[open_words]
+            left = every_other(np.flatnonzero(hit))
+            symbols[left] = self.joined[ranks[left]]
+            keep = np.ones(len(symbols), bool)
+            keep[left + 1] = False
+            symbols, word = symbols[keep], word[keep]
+        symbols, word = (np.concatenate(c) for c in zip(*done))
+        return symbols[np.argsort(word, kind="stable")].astype(np.int32), np.bincount(word, minlength=len(words))
+
+
+def _encode_batch(rows, known):
     """Encode each distinct word of a batch once and lay the ids out by offsets."""
-    offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
-    coded = pc.dictionary_encode(words.flatten())
-    per_word = [encode(w) for w in coded.dictionary.to_pylist()]
-    index = coded.indices.to_numpy(zero_copy_only=False)
-    sizes = np.fromiter((len(w) for w in per_word), dtype=np.int64, count=len(per_word))
-    all_ids = np.fromiter((i for w in per_word for i in w), dtype=np.int32, count=int(sizes.sum()))
-    starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-    lengths = sizes[index] if len(index) else np.zeros(0, dtype=np.int64)
+    offsets = rows.offsets.to_numpy() - rows.offsets[0].as_py()
+    coded = pc.dictionary_encode(rows.flatten())
+    slots = known.slots(coded.dictionary.to_pylist())
+    used = slots[coded.indices.to_numpy(zero_copy_only=False)]
+    starts = (np.cumsum(known.sizes) - known.sizes)[used]
+    lengths = known.sizes[used]
     ends = np.concatenate(([0], np.cumsum(lengths)))
-    shift = np.repeat(starts[index] - ends[:-1], lengths) if len(index) else lengths
-    ids = all_ids[np.arange(ends[-1]) + shift]
+    ids = known.flat[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], lengths)]
     return pa.ListArray.from_arrays(pa.array(ends[offsets], pa.int32()), pa.array(ids, pa.int32()))
 
 
@@ -77,9 +116,9 @@ def encoder(spark, model):
 
     @F.arrow_udf(IDS)
     def encode_words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = _word_encoder(*shared.value)
-        for words in batches:
-            yield _encode_batch(words, encode)
+        known = _Words(*shared.value)
+        for rows in batches:
+            yield _encode_batch(rows, known)
 
     return lambda text: encode_words(segments(text))
 

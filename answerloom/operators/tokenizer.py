@@ -1,9 +1,10 @@
 """Byte-level BPE: corpus word counts and merges learned with Spark jobs."""
 
 import heapq
-from collections import Counter, defaultdict
+from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from answerloom import schemas
@@ -11,7 +12,7 @@ from answerloom.functions.text import sample_lines
 from answerloom.functions.templates import pair_text
 from answerloom.functions.splits import is_val
 from answerloom.operators.sampling import keyed_sample
-from answerloom.session import shared_dir
+from answerloom.session import cut_lineage
 
 # The special tokens (ids 0-4) and the public byte-level word pattern.
 SPECIALS = ("<pad>", "<unk>", "<bos>", "<eos>", "<sep>")
@@ -167,13 +168,10 @@ def learn_bpe(counts, vocab_size, alphabet="observed", min_count=1, driver_chars
     """
     if alphabet not in ("observed", "bytes"):
         raise ValueError("alphabet is 'observed' or 'bytes'")
-    spark = counts.sparkSession
-    shared_dir(spark)
     latin = F.decode(F.encode("pretoken", "UTF-8"), "ISO-8859-1")
-    words = (
-        counts.where(F.col("count") >= min_count)
-        .select(latin.alias("word"), F.col("count").cast("long").alias("n"))
-        .checkpoint()
+    kept = counts.where(F.col("count") >= min_count)
+    words = cut_lineage(
+        kept.select(latin.alias("word"), F.col("count").cast("long").alias("n")), "words"
     )
     stats = words.agg(F.sum(F.length("word")).alias("chars")).first()
     if alphabet == "bytes":
@@ -194,84 +192,110 @@ def learn_bpe(counts, vocab_size, alphabet="observed", min_count=1, driver_chars
     return vocab.model()
 
 
+def every_other(places):
+    """Of each run of neighbouring places keep the first, third, ... (no overlaps)."""
+    starts = np.concatenate(([True], np.diff(places) != 1)) if len(places) else np.zeros(0, bool)
+    run_start = np.maximum.accumulate(np.where(starts, np.arange(len(places)), 0))
+    return places[(np.arange(len(places)) - run_start) % 2 == 0]
+
+
+def _weighted_counts(keys, weights):
+    unique, place = np.unique(keys, return_inverse=True)
+    totals = np.zeros(len(unique), np.int64)
+    np.add.at(totals, place, weights)
+    return zip(unique.tolist(), totals.tolist())
+
+
 def _merge_on_driver(symbols, vocab, vocab_size):
-    """Incremental pair counts over a bounded word table."""
-    rows = symbols.collect()
-    words = [r["word"] for r in rows]
-    weight = [r["n"] for r in rows]
-    counts, where = Counter(), defaultdict(set)
-    for i, w in enumerate(words):
-        for pair in zip(w, w[1:]):
-            counts["".join(pair)] += weight[i]
-            where["".join(pair)].add(i)
-    heap = [(-n, p) for p, n in counts.items()]
+    """Pair counts kept up to date over one flat array of a bounded word table."""
+    table = symbols.select("word", F.length("word").alias("size"), "n").toArrow()
+    text = "".join(table.column("word").to_pylist())
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    sizes = table.column("size").to_numpy()
+    weight = np.repeat(table.column("n").to_numpy(), sizes)
+    word = np.repeat(np.arange(len(sizes)), sizes)
+    base = 1 << 21  # more than any code point, so a pair is one ordered integer
+    counts = Counter()
+
+    def pairs_at(places):
+        places = places[(places >= 0) & (places < len(codes) - 1)]
+        places = places[word[places] == word[places + 1]]
+        return codes[places] * base + codes[places + 1], weight[places]
+
+    counts.update(dict(_weighted_counts(*pairs_at(np.arange(len(codes))))))
+    heap = [(-n, key) for key, n in counts.items()]
     heapq.heapify(heap)
     while heap and len(vocab.tokens) < vocab_size:
-        negative, pair = heapq.heappop(heap)
-        if counts[pair] != -negative:
-            if counts[pair] > 0:
-                heapq.heappush(heap, (-counts[pair], pair))
+        negative, key = heapq.heappop(heap)
+        if counts[key] != -negative:
+            if counts[key] > 0:
+                heapq.heappush(heap, (-counts[key], key))
             continue
-        if negative == 0:
-            break
-        symbol = vocab.add(pair)
-        grown = set()
-        for i in where.pop(pair):
-            old, new = words[i], words[i].replace(pair, symbol)
-            if old == new:
-                continue
-            words[i] = new
-            change = Counter(a + b for a, b in zip(new, new[1:]))
-            change.subtract(a + b for a, b in zip(old, old[1:]))
-            for p, d in change.items():
-                if d:
-                    counts[p] += d * weight[i]
-                    if d > 0:
-                        where[p].add(i)
-                        grown.add(p)
-        counts.pop(pair, None)
-        for p in grown:
-            if p != pair and counts[p] > 0:
-                heapq.heappush(heap, (-counts[p], p))
+        left, right = divmod(key, base)
+        symbol = ord(vocab.add(chr(left) + chr(right)))
+        hits = np.flatnonzero(
+            (codes[:-1] == left) & (codes[1:] == right) & (word[:-1] == word[1:])
+        )
+        hits = every_other(hits)
+        around = np.unique(np.concatenate((hits - 1, hits, hits + 1)))
+        gone, gone_weight = pairs_at(around)
+        codes[hits] = symbol
+        keep = np.ones(len(codes), bool)
+        keep[hits + 1] = False
+        codes, weight, word = codes[keep], weight[keep], word[keep]
+        moved = hits - np.arange(len(hits))
+        new, new_weight = pairs_at(np.unique(np.concatenate((moved - 1, moved))))
+        change = Counter(dict(_weighted_counts(new, new_weight)))
+        change.subtract(dict(_weighted_counts(gone, gone_weight)))
+        for k, d in change.items():
+            counts[k] += d
+            if d > 0:
+                heapq.heappush(heap, (-counts[k], k))
+        if counts[key] <= 0:
+            del counts[key]
 
 
 def _exact_batch(top, vocab, room, complete):
     """Pairs of the sorted list ``top`` that can be merged in one round.
 
-    A further pair joins while it shares no symbol with the batch and is more
-    frequent than every pair that touches the batch, because a pair created by a
-    merge is never more frequent than those. A pair of equal symbols, or one
-    whose joined token exists already, ends the batch.
+    Merging (a, b) changes the counts of pairs that end in a or start with b,
+    and creates pairs that are at most as frequent as those were. So a further
+    pair joins while it is not one of them and is more frequent than all of
+    them. A pair of equal symbols, or one whose joined token exists already,
+    is merged alone.
     """
-    batch, used, bound = [], set(), 0
+    batch, joined, lefts, rights, bound = [], set(), set(), set(), 0
     for k, (pair, n) in enumerate(top):
-        if len(batch) == room:
-            break
-        if batch and (n <= bound or used & set(pair)):
-            break
-        ends = pair[0] == pair[1] or vocab.joined(pair) in vocab.ids
-        if batch and ends:
+        token = vocab.joined(pair)
+        alone = pair[0] == pair[1] or token in vocab.ids or token in joined
+        if batch and (len(batch) == room or alone or n <= bound or _touched(pair, lefts, rights)):
             break
         batch.append(pair)
-        used |= set(pair)
-        if ends:
+        if alone:
             break
-        rest = [m for p, m in top[k + 1:] if used & set(p)]
-        # Pairs beyond a cut list may touch the batch with the last listed count.
-        bound = max(rest[:1] + ([0] if complete else [top[-1][1]]))
+        joined.add(token)
+        lefts.add(pair[0])
+        rights.add(pair[1])
+        rest = [m for p, m in top[k + 1:] if _touched(p, lefts, rights)][:1]
+        # Pairs beyond a cut list may be touched too, with up to the last listed count.
+        bound = max(rest + [0 if complete else top[-1][1]])
     return batch
 
 
-def _merge_by_jobs(symbols, vocab, vocab_size, top_pairs=512, rounds_per_checkpoint=16):
+def _touched(pair, lefts, rights):
+    return pair[1] in lefts or pair[0] in rights
+
+
+def _merge_by_jobs(symbols, vocab, vocab_size, top_pairs=512, rounds_per_table=16):
     """One job per round: apply the pending merges, count pairs, read the top pairs."""
-    base, pending, rounds = symbols.checkpoint(), [], 0
+    base, pending, rounds = symbols, [], 0
     while len(vocab.tokens) < vocab_size:
         word = F.col("word")
         for pair, symbol in pending:
             word = F.replace(word, F.lit(pair), F.lit(symbol))
         current = base.select(word.alias("word"), "n").where(F.length("word") > 1)
-        if rounds and rounds % rounds_per_checkpoint == 0:
-            base, pending = current.checkpoint(), []
+        if rounds and rounds % rounds_per_table == 0:
+            base, pending = cut_lineage(current, "merged_words"), []
             current = base
         rounds += 1
         last = F.length("word") - 1

@@ -141,7 +141,7 @@ def clean_generated(spark, d):
     raw = F.replace(
         F.replace(F.col("html"), F.lit("<"), F.lit(" Ġ( ")), F.lit(">"), F.lit(" ) Ċ .")
     )
-    return fx.table(spark, d, "pages").select("page_id", rubric.clean_generated(raw).alias("cleaned"))
+    return fx.text_table(spark, d, "pages").select("page_id", rubric.clean_generated(raw).alias("cleaned"))
 
 
 def _rstrip_sql(x):
@@ -178,4 +178,5 @@ def cut_at_markers(spark, d):
     marked = F.concat(
         "output", F.lit("\nUser: x"), F.when(F.col("rec_id") % 2 == 0, "\nQuestion: y").otherwise("")
     )
-    return fx.eval_records(spark, d).select("rec_id", rubric.cut_at_markers(marked).alias("answer"))
+    records = fx.eval_records(spark, d).select("rec_id", marked.alias("answer"))
+    return rubric.cut_at_markers(records, "answer")

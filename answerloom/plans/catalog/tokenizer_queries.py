@@ -73,7 +73,7 @@ _CONV = f"""sample AS (SELECT text FROM conversations), {LINES},
 
 
 def _conv(spark, d):
-    return fx.table(spark, d, "conversations").select(
+    return fx.text_table(spark, d, "conversations").select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("k"), "text"
     )
 
@@ -96,7 +96,7 @@ def pretokens(spark, d):
 @query(f"""SELECT pretoken, count(*) AS count FROM (
   SELECT unnest({words_sql('text', False)}) AS pretoken FROM documents) GROUP BY pretoken""")
 def pretoken_counts(spark, d):
-    return tk.pretoken_counts(fx.table(spark, d, "documents"), "text")
+    return tk.pretoken_counts(fx.text_table(spark, d, "documents"), "text")
 
 
 @query(f"""WITH {CURATED}, t AS (SELECT answer_id, {pair_text_sql()} AS text FROM curated)

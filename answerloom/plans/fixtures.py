@@ -2,11 +2,18 @@
 
 from pyspark.sql import functions as F
 
+from answerloom.sources.tables import read_spread
+
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark, sf_dir, name):
+    """A table whose rows carry heavy text work."""
+    return read_spread(spark, f"{sf_dir}/{name}.parquet")
+
+
 def _first_user_turn(conv):
     """The question row of every conversation, from one partial-aggregated pass."""
     return (

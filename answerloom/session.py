@@ -45,6 +45,17 @@ def work_dir(spark, name):
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def cut_lineage(df, name):
+    """Write a table to the shared folder and read it back.
+
+    Later jobs start from the files, so a lost executor costs no earlier work;
+    unlike an eager checkpoint the plan runs only once.
+    """
+    path = work_dir(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def path_exists(spark, path):
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)

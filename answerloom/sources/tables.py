@@ -29,6 +29,17 @@ def read_columns(spark, columns, *paths):
     return spark.read.parquet(*paths).select(*columns)
 
 
+def read_spread(spark, *paths):
+    """A scan with at least one partition per core.
+
+    A small file is one partition however much work its rows are, so it is
+    redistributed; a scan that already has enough partitions is left alone.
+    """
+    df = spark.read.parquet(*paths)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def save_subset(spark, paths, n, out):
     """Write the first ``n`` rows once; an existing subset is kept as it is."""
     first_rows(spark, paths, n).write.mode("ignore").parquet(out)
