@@ -4,6 +4,8 @@ from pyspark.sql import Window, functions as F
 
 from answerloom.operators.sampling import rank_column
 
+BLOCK = 4_096  # row batches listed by one task at a time
+
 
 def index_rows(df, group, order, range_size=1_000_000):
     """Number the rows of each group by an integer column, from 0.
@@ -39,7 +41,8 @@ def _pieces(rows, batch_size, drop_last):
 def row_batches(files, batch_size, row_batch, epochs, shuffle_files, drop_last, seed):
     """One row per (epoch, file, row batch) with its size and first batch number.
 
-    ``files`` holds ``file, n``. Only one number per file enters the running sum.
+    ``files`` holds ``file, n``. Only one number per file enters the running sum;
+    the row batches of a huge file are listed in blocks spread over tasks.
     """
     n = F.col("n")
     full = F.floor(n / row_batch).cast("long")
@@ -51,22 +54,29 @@ def row_batches(files, batch_size, row_batch, epochs, shuffle_files, drop_last,
         Window.partitionBy("epoch").orderBy("_order", "file")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    return (
+    last = F.floor((n - 1) / row_batch)
+    blocks = (
         in_epochs.withColumn("_order", order)
         .withColumn("_batches", full * per_full + _pieces(tail, batch_size, drop_last))
         .withColumn("_first", F.coalesce(F.sum("_batches").over(earlier), F.lit(0)))
-        .select(
-            "epoch", "file", "n", "_first",
-            F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / row_batch))).alias("row_batch"),
-        )
-        .select(
-            "epoch", "file", "row_batch",
-            F.least(F.lit(row_batch), F.col("n") - F.col("row_batch") * row_batch).alias("_size"),
-            (F.col("_first") + F.col("row_batch") * per_full).alias("_batch"),
-        )
+        .select("epoch", "file", "n", "_first", F.explode(_numbers(0, last / BLOCK)).alias("_block"))
+        .repartition("epoch", "file", "_block")
+    )
+    start = F.col("_block") * BLOCK
+    end = F.least(start + BLOCK - 1, last)
+    return blocks.select(
+        "epoch", "file", "n", "_first", F.explode(F.sequence(start, end)).alias("row_batch")
+    ).select(
+        "epoch", "file", "row_batch",
+        F.least(F.lit(row_batch), n - F.col("row_batch") * row_batch).alias("_size"),
+        (F.col("_first") + F.col("row_batch") * per_full).alias("_batch"),
     )
 
 
+def _numbers(first, last):
+    return F.sequence(F.lit(first).cast("long"), F.floor(last))
+
+
 def plan_batches(
     rows, batch_size, multiplier=4, epochs=1, shuffle_files=True, shuffle_rows=True,
     drop_last=True, devices=None, seed=42, min_row_batch=256,

@@ -173,19 +173,19 @@ def learn_bpe(counts, vocab_size, alphabet="observed", min_count=1, driver_chars
     words = cut_lineage(
         kept.select(latin.alias("word"), F.col("count").cast("long").alias("n")), "words"
     )
-    stats = words.agg(F.sum(F.length("word")).alias("chars")).first()
-    if alphabet == "bytes":
-        seen = range(256)
-    else:
-        chars = words.select(F.explode(F.split("word", "")).alias("c")).where("c <> ''").distinct()
-        seen = [ord(r["c"]) for r in chars.collect()]  # at most 256 rows
+    letters = (
+        words.select(F.explode(F.split("word", "")).alias("c")).where("c <> ''")
+        .groupBy("c").count().collect()  # at most 256 rows
+    )
+    total = sum(r["count"] for r in letters)
+    seen = range(256) if alphabet == "bytes" else [ord(r["c"]) for r in letters]
     vocab = _Vocabulary(seen)
     source = "".join(chr(b) for b in vocab.byte_symbols)
     target = "".join(vocab.byte_symbols.values())
     symbols = words.where(F.length("word") > 1).select(
         F.translate("word", source, target).alias("word"), "n"
     )
-    if (stats["chars"] or 0) <= driver_chars:
+    if total <= driver_chars:
         _merge_on_driver(symbols, vocab, vocab_size)
     else:
         _merge_by_jobs(symbols, vocab, vocab_size)

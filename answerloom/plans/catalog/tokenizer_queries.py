@@ -8,6 +8,7 @@ from answerloom.operators import encode as en, tokenizer as tk
 from answerloom.plans import fixtures as fx
 from answerloom.plans.catalog.pair_queries import _curated, _pairs
 from answerloom.plans.catalog.registry import CURATED, PAIRS, pair_text_sql, query, strip_sql
+from answerloom.session import cut_lineage, work_dir
 
 VOCAB_SIZE = 320
 
@@ -153,8 +154,6 @@ def bpe_merges_by_jobs(spark, d):
 UNION ALL SELECT * FROM (VALUES {', '.join(f"({i}, '{t}')" for i, t in enumerate(tk.SPECIALS))})""")
 def vocabulary_alphabet(spark, d):
     """Special tokens and byte alphabet with their ids, from a saved and reloaded model."""
-    from answerloom.session import work_dir
-
     folder = work_dir(spark, "tokenizer")
     _model(spark, d).save(spark, folder)
     model = tk.BpeModel.load(spark, folder)
@@ -185,7 +184,7 @@ SELECT question_id, answer_id, split,
 FROM curated JOIN listed ON k = answer_id""")
 def tokenize_split(spark, d):
     """Curate, split, learn on the train split, encode, cut and pad every split."""
-    rows = _curated(spark, d)
+    rows = cut_lineage(_curated(spark, d), "curated")
     lines = tk.train_sample(rows.where("split = 'train'"), 200_000)
     model = tk.learn_bpe(tk.pretoken_counts(lines), VOCAB_SIZE)
     return en.tokenize_pairs(rows, model, 256).select(

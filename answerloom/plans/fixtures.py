@@ -58,7 +58,7 @@ def _answer_id():
 
 def eval_records(spark, sf_dir):
     """Answers as generated texts; appended markers make every scoring branch occur."""
-    conv = table(spark, sf_dir, "conversations")
+    conv = text_table(spark, sf_dir, "conversations")
     q = _first_user_turn(conv).select("conv_id", F.col("text").alias("question"))
     a = conv.where("role = 'assistant'").join(q, "conv_id")
     c = F.col("conv_id")

@@ -36,7 +36,10 @@ def main():
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
     })
     spark.sparkContext.setLogLevel("ERROR")
-    run(spark, "projected_scan", sf_dir)  # start the engine once, outside the timings
+    # Compile and load once, outside the timings: every query at the smallest scale.
+    warm = str(Path(sf_dir).with_name("sf0.001"))
+    for name in names:
+        run(spark, name, warm if Path(warm).is_dir() else sf_dir)
     times = {name: round(run(spark, name, sf_dir), 3) for name in names}
     spark.stop()
     print(json.dumps({
