@@ -154,7 +154,7 @@ class _Vocabulary:
         return BpeModel(tuple(self.tokens), tuple(self.merges))
 
 
-def learn_bpe(counts, vocab_size, alphabet="observed", min_count=1, driver_chars=8_000_000):
+def learn_bpe(counts, vocab_size, alphabet="observed", min_count=1, driver_chars=32_000_000):
     """Learn a BPE vocabulary from a ``(pretoken, count)`` table.
 
     The most frequent pair is merged first, ties go to the smaller ids.
@@ -207,22 +207,26 @@ def _weighted_counts(keys, weights):
 
 
 def _merge_on_driver(symbols, vocab, vocab_size):
-    """Pair counts kept up to date over one flat array of a bounded word table."""
-    table = symbols.select("word", F.length("word").alias("size"), "n").toArrow()
+    """Pair counts kept up to date over one flat array of a bounded word table.
+
+    Words lie behind each other with a 0 after each; a merge looks at the
+    places of its left symbol and at their neighbours only.
+    """
+    table = symbols.select(F.concat("word", F.lit("\0")).alias("word"), "n").toArrow()
     text = "".join(table.column("word").to_pylist())
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
-    sizes = table.column("size").to_numpy()
-    weight = np.repeat(table.column("n").to_numpy(), sizes)
-    word = np.repeat(np.arange(len(sizes)), sizes)
+    codes = np.frombuffer(text.encode("utf-32-le"), np.int32).copy()
+    weight = table.column("n").to_numpy()
+    word = np.concatenate(([0], np.cumsum(codes == 0)[:-1])).astype(np.int32) if len(codes) else codes
     base = 1 << 21  # more than any code point, so a pair is one ordered integer
     counts = Counter()
 
     def pairs_at(places):
         places = places[(places >= 0) & (places < len(codes) - 1)]
-        places = places[word[places] == word[places + 1]]
-        return codes[places] * base + codes[places + 1], weight[places]
+        places = places[(codes[places] != 0) & (codes[places + 1] != 0)]
+        pairs = codes[places].astype(np.int64) * base + codes[places + 1]
+        return _weighted_counts(pairs, weight[word[places]])
 
-    counts.update(dict(_weighted_counts(*pairs_at(np.arange(len(codes))))))
+    counts.update(dict(pairs_at(np.arange(len(codes)))))
     heap = [(-n, key) for key, n in counts.items()]
     heapq.heapify(heap)
     while heap and len(vocab.tokens) < vocab_size:
@@ -233,20 +237,16 @@ def _merge_on_driver(symbols, vocab, vocab_size):
             continue
         left, right = divmod(key, base)
         symbol = ord(vocab.add(chr(left) + chr(right)))
-        hits = np.flatnonzero(
-            (codes[:-1] == left) & (codes[1:] == right) & (word[:-1] == word[1:])
-        )
-        hits = every_other(hits)
-        around = np.unique(np.concatenate((hits - 1, hits, hits + 1)))
-        gone, gone_weight = pairs_at(around)
+        hits = np.flatnonzero(codes == left)  # never the last place, which is 0
+        hits = every_other(hits[codes[hits + 1] == right])
+        gone = dict(pairs_at(np.unique(np.concatenate((hits - 1, hits, hits + 1)))))
         codes[hits] = symbol
         keep = np.ones(len(codes), bool)
         keep[hits + 1] = False
-        codes, weight, word = codes[keep], weight[keep], word[keep]
+        codes, word = codes[keep], word[keep]
         moved = hits - np.arange(len(hits))
-        new, new_weight = pairs_at(np.unique(np.concatenate((moved - 1, moved))))
-        change = Counter(dict(_weighted_counts(new, new_weight)))
-        change.subtract(dict(_weighted_counts(gone, gone_weight)))
+        change = Counter(dict(pairs_at(np.unique(np.concatenate((moved - 1, moved))))))
+        change.subtract(gone)
         for k, d in change.items():
             counts[k] += d
             if d > 0:
@@ -286,22 +286,37 @@ def _touched(pair, lefts, rights):
     return pair[1] in lefts or pair[0] in rights
 
 
-def _merge_by_jobs(symbols, vocab, vocab_size, top_pairs=512, rounds_per_table=16):
-    """One job per round: apply the pending merges, count pairs, read the top pairs."""
-    base, pending, rounds = symbols, [], 0
+def _apply(merges, word):
+    """All pending merges in order, as one fold over a constant array of steps.
+
+    The expression has the same shape in every round, so Spark does not compile
+    a longer chain of replacements each time.
+    """
+    if not merges:
+        return word
+    steps = F.split(F.lit(" ".join(pair + symbol for pair, symbol in merges)), " ")
+    return F.aggregate(
+        steps, word, lambda w, step: F.replace(w, F.substring(step, 1, 2), F.substring(step, 3, 1))
+    )
+
+
+def _merge_by_jobs(symbols, vocab, vocab_size, top_pairs=512, max_pending=64):
+    """One job per round: apply the pending merges, count pairs, read the top pairs.
+
+    After ``max_pending`` merges the words are written to a new table, which
+    bounds both the work per word and the lineage.
+    """
+    base, pending = symbols, []
     while len(vocab.tokens) < vocab_size:
-        word = F.col("word")
-        for pair, symbol in pending:
-            word = F.replace(word, F.lit(pair), F.lit(symbol))
-        current = base.select(word.alias("word"), "n").where(F.length("word") > 1)
-        if rounds and rounds % rounds_per_table == 0:
-            base, pending = cut_lineage(current, "merged_words"), []
+        current = base.select(_apply(pending, F.col("word")).alias("word"), "n")
+        if len(pending) >= max_pending:
+            longer = current.where(F.length("word") > 1)
+            base, pending = cut_lineage(longer, "merged_words"), []
             current = base
-        rounds += 1
         last = F.length("word") - 1
         pairs = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring("word", i, F.lit(2)))
         top = (
-            current.select(F.explode(pairs).alias("pair"), "n").groupBy("pair")
+            current.select(F.explode(F.when(last > 0, pairs)).alias("pair"), "n").groupBy("pair")
             .agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.asc("pair"))
             .limit(top_pairs).collect()
         )
