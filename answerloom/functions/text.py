@@ -1,28 +1,25 @@
-"""Text columns: trimming as each source language does it, and coercion to text.
-
-Runs of blanks are matched only from their first character (look-behind plus a
-possessive quantifier), so a long run inside a text costs linear time.
-"""
+"""Text columns: trimming as each source language does it, and coercion to text."""
 
 from pyspark.sql import functions as F, types as T
 
-# Python's str.strip() and re \s: Unicode white space plus U+001C..U+001F.
-PY_SPACE = r"[\s\x1c-\x1f]"
-_PY_END = rf"(?<!{PY_SPACE}){PY_SPACE}++\z"
-_ZS_END = r"(?<!\p{Zs})\p{Zs}++\z"
+# Unicode space separators (category Zs).
+SEPARATORS = "".join(map(chr, (0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)))
+# Python's str.strip() and re \s: all Unicode white space plus U+001C..U+001F.
+BLANKS = SEPARATORS + "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0x2028, 0x2029)))
+PY_SPACE = r"[\s\x1c-\x1f]"  # the same set inside a (?U) pattern
 
 
 def sql_trim(c):
     """Strip Unicode space separators but no control characters (SQL-engine ``trim``)."""
-    return F.regexp_replace(c, rf"\A\p{{Zs}}++|{_ZS_END}", "")
+    return F.btrim(c, F.lit(SEPARATORS))
 
 
 def py_strip(c):
-    return F.regexp_replace(c, rf"(?U)\A{PY_SPACE}++|{_PY_END}", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def py_rstrip(c):
-    return F.regexp_replace(c, rf"(?U){_PY_END}", "")
+    return F.rtrim(c, F.lit(BLANKS))
 
 
 def py_words(c):
@@ -30,11 +27,6 @@ def py_words(c):
     return F.filter(F.split(c, rf"(?U){PY_SPACE}+"), lambda w: w != "")
 
 
-def word_runs(c):
-    """Runs of ASCII letters, digits and underscores."""
-    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("[A-Za-z0-9_]+"), F.lit(0))
-
-
 def _raw_text(c, dtype):
     if isinstance(dtype, T.StringType):
         return c

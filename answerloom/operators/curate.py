@@ -9,7 +9,7 @@ from answerloom.functions.text import sql_trim
 
 # Fixed value: whole answers that only say thanks or report success.
 SHORT_THANKS = r"\A(thanks!?|thank you!?|solved!?|works!?|works now!?|nvm|fixed)\z"
-WORD = "[A-Za-z0-9_]+"
+LONGEST_THANKS = 10
 # Fixed value: how a missing score ranks when the best answer is chosen.
 NO_SCORE_RANK = -1_000_000
 
@@ -27,11 +27,13 @@ def min_chars(k):
 
 
 def min_words(k):
-    return F.regexp_count(_body(), F.lit(WORD)) >= k
+    """At least ``k`` runs of ASCII letters, digits, underscores; stops reading at the k-th."""
+    return _body().rlike(rf"\A[^A-Za-z0-9_]*+(?:[A-Za-z0-9_]++[^A-Za-z0-9_]*+){{{max(k, 0)}}}")
 
 
 def is_short_thanks():
-    return F.lower(sql_trim(_body())).rlike(SHORT_THANKS)
+    text = sql_trim(_body())
+    return (F.length(text) <= LONGEST_THANKS) & F.lower(text).rlike(SHORT_THANKS)
 
 
 def quality(score=1, chars=40, words=8, drop_short_thanks=False):

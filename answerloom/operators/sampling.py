@@ -21,18 +21,18 @@ def keyed_sample(df, n, key, seed=42):
         raise ValueError("sample size must be positive")
     ranked = df.withColumn("_rank", rank_column(seed, key))
     prefix = F.substring("_rank", 1, PREFIX)
-    counts = ranked.groupBy(prefix.alias("p")).count().orderBy("p").collect()
+    counts = ranked.groupBy(prefix.alias("p")).count().toArrow().to_pydict()
     taken = 0
-    for row in counts:
-        if taken + row["count"] > n:
+    for p, rows in sorted(zip(counts["p"], counts["count"])):
+        if taken + rows > n:
             break
-        taken += row["count"]
+        taken += rows
     else:
         return df
     if taken == n:
-        return ranked.where(prefix < row["p"]).drop("_rank")
+        return ranked.where(prefix < p).drop("_rank")
     cut = (
-        ranked.where(prefix == row["p"]).select("_rank", key).orderBy("_rank", key)
+        ranked.where(prefix == p).select("_rank", key).orderBy("_rank", key)
         .limit(n - taken).agg(F.max(F.struct("_rank", key)).alias("cut")).first()["cut"]
     )
     inside = (F.col("_rank") < cut["_rank"]) | (

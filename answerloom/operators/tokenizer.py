@@ -14,17 +14,19 @@ from answerloom.functions.splits import is_val
 from answerloom.operators.sampling import keyed_sample
 from answerloom.session import cut_lineage
 
-# The special tokens (ids 0-4) and the public byte-level word pattern.
+# The special tokens (ids 0-4) and the public byte-level word pattern:
+# 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
 SPECIALS = ("<pad>", "<unk>", "<bos>", "<eos>", "<sep>")
+# Alternatives that cannot start alike are tried most frequent first.
 WORD_PATTERN = (
-    r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    r"(?U) ?\p{L}++| ?\p{N}++|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
 )
-_ANY_SPECIAL = "|".join(SPECIALS)
 # The same words, with special tokens cut out of the text first.
+_NAMES = "|".join(t[1:] for t in SPECIALS)
 SEGMENT_PATTERN = (
-    rf"(?U){_ANY_SPECIAL}|'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+"
-    rf"| ?(?:(?!{_ANY_SPECIAL})[^\s\p{{L}}\p{{N}}])+"
-    rf"|\s+(?={_ANY_SPECIAL})|\s+(?!\S)|\s+"
+    r"(?U) ?\p{L}++| ?\p{N}++|'s|'t|'re|'ve|'m|'ll|'d"
+    rf"|<(?:{_NAMES})| ?(?:[^\s\p{{L}}\p{{N}}<]++|<(?!{_NAMES}))++"
+    rf"|\s+(?=<(?:{_NAMES}))|\s+(?!\S)|\s+"
 )
 
 
