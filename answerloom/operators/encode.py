@@ -10,6 +10,7 @@ from pyspark.sql import functions as F, types as T
 from answerloom.functions.ids import pad_right
 from answerloom.functions.templates import pair_text
 from answerloom.operators.tokenizer import SPECIALS, every_other, segments, token_bytes
+from answerloom.session import ship_package
 
 IDS = T.ArrayType(T.IntegerType(), False)
 CACHED_WORDS = 500_000
@@ -112,6 +113,7 @@ def encoder(spark, model):
     Only the word arrays cross to Python, one Arrow batch at a time; there is no
     shuffle. The model is broadcast; its size is bounded by the vocabulary.
     """
+    ship_package(spark)
     shared = spark.sparkContext.broadcast((model.tokens, model.merges))
 
     @F.arrow_udf(IDS)

@@ -2,9 +2,13 @@
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_SHIPPED = set()
+
 
 def build_session(master=None, app_name="answerloom", **conf):
     """A session with the pinned settings; extra keyword pairs are ``spark.*`` settings."""
@@ -15,6 +19,8 @@ def build_session(master=None, app_name="answerloom", **conf):
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.parquet.compression.codec", "zstd")
+        # Rows may hold long texts; small batches bound a Python worker's memory.
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     )
     if master:
         builder = builder.master(master)
@@ -23,6 +29,23 @@ def build_session(master=None, app_name="answerloom", **conf):
     return builder.getOrCreate()
 
 
+def ship_package(spark):
+    """Give the Python workers this package, once per application.
+
+    Workers may start in any folder or on machines without it. A package that
+    already runs from a shipped archive needs nothing.
+    """
+    sc, root = spark.sparkContext, Path(__file__).resolve().parent
+    if sc.applicationId in _SHIPPED or not root.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="answerloom-")) / "answerloom.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, source.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
+
+
 def shared_dir(spark):
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
