@@ -1,5 +1,7 @@
 """One query per operator, with production settings over the whole table it is meant for."""
 
+from answerloom.llm.bpe_counts import token_counts
+from answerloom.llm.packing import pack_documents
 from answerloom.llm.superminhash import near_duplicates
 
 QUERIES, ORACLES = {}, {}
@@ -22,3 +24,19 @@ def _table(spark, sf_dir, name):
 @query()
 def op2_superminhash(spark, sf_dir):
     return near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
+def _tokenizer(name):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query()
+def op7_bpe_counts(spark, sf_dir):
+    return token_counts(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
+@query()
+def op8_packing(spark, sf_dir):
+    return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))

@@ -93,27 +93,13 @@ def band_keys(low, rows=ROWS):
     return keys
 
 
-def _pieces(batch, size=2_000_000):
-    """Slices of a batch with about ``size`` bytes of text; the text is its second column."""
-    import pyarrow.compute as pc
-
-    bytes_ = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-    total = np.cumsum(bytes_)
-    at = 0
-    while at < len(total):
-        base = total[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(total, base + size, "right")))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def _sketch(k, m, rows, batches):
     import pyarrow as pa
 
-    from answerloom.llm.textscan import mix, text_bytes
+    from answerloom.llm.textscan import mix, pieces, text_bytes
 
     for batch in batches:
-        for part in _pieces(batch):
+        for part in pieces(batch):
             sets = shingle_sets(*text_bytes(part.column(1)), k)
             n = np.array([len(s) for s in sets], np.int64)
             sums = np.array([[s.sum(dtype=np.uint64), mix(s).sum(dtype=np.uint64)] for s in sets], np.uint64)
@@ -130,10 +116,10 @@ def _sketch(k, m, rows, batches):
 def _sets(k, batches):
     import pyarrow as pa
 
-    from answerloom.llm.textscan import text_bytes
+    from answerloom.llm.textscan import pieces, text_bytes
 
     for batch in batches:
-        for part in _pieces(batch):
+        for part in pieces(batch):
             sets = shingle_sets(*text_bytes(part.column(1)), k)
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([

@@ -112,3 +112,65 @@ def gather(starts, lengths):
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def pieces(batch, column=1, size=2_000_000):
+    """Slices of a record batch with about ``size`` bytes in its string column; a long text stands alone."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    total, at = np.cumsum(lengths, dtype=np.int64), 0
+    while at < len(total):
+        end = int(np.searchsorted(total, (total[at - 1] if at else 0) + size, "right"))
+        end = max(at + 1, end)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def chunk_hashes(data, starts):
+    """Hashes of the chunks that begin at ``starts`` and end where the next one begins."""
+    ends = np.append(starts[1:], len(data))
+    out, at = np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):
+        end = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK, "right")))
+        base = starts[at]
+        out[at:end] = span_hashes(data[base:ends[end - 1]], starts[at:end] - base, ends[at:end] - base)
+        at = end
+    return out
+
+
+class Memo:
+    """What a worker has computed for distinct chunks, by hash; emptied when it grows past ``limit``."""
+
+    def __init__(self, limit=1_000_000):
+        self.limit, self.slots = limit, {}
+
+    def find(self, hashes, compute):
+        """Slot numbers of ``hashes``; ``compute(indices)`` gets the first index of each new one."""
+        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.slots) + len(unique) > self.limit:
+            self.slots.clear()
+            self.clear()
+        get = self.slots.get
+        slots = np.fromiter((get(h, -1) for h in unique.tolist()), np.int64, len(unique))
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            slots[new] = np.arange(len(self.slots), len(self.slots) + len(new))
+            self.slots.update(zip(unique[new].tolist(), slots[new].tolist()))
+            compute(first[new])
+        return slots[inverse]
+
+    def clear(self):
+        """Forget what the slots stand for."""
+
+
+class Pool:
+    """A growing array."""
+
+    def __init__(self, dtype):
+        self.array, self.size = np.zeros(1024, dtype), 0
+
+    def extend(self, values):
+        need = self.size + len(values)
+        if need > len(self.array):
+            self.array = np.resize(self.array, max(need, 2 * len(self.array)))
+        self.array[self.size:need] = values
+        self.size = need
