@@ -1,8 +1,12 @@
 """One query per operator, with production settings over the whole table it is meant for."""
 
+from pyspark.sql import functions as F
+
 from answerloom.llm.bpe_counts import token_counts
 from answerloom.llm.packing import pack_documents
+from answerloom.llm.string_kernel import fit, labelled_sample, toxicity_scores
 from answerloom.llm.superminhash import near_duplicates
+from answerloom.llm.weighted_sampling import compare_with_next
 
 QUERIES, ORACLES = {}, {}
 
@@ -32,6 +36,19 @@ def _tokenizer(name):
     return public_tokenizers.path(name)
 
 
+def _held_out(id_col):
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
+
+
+@query()
+def op4_string_kernel(spark, sf_dir):
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = fit(*labelled_sample(docs, labels.where(~_held_out("doc_id"))))
+    return toxicity_scores(docs, model).select(
+        "doc_id", _held_out("doc_id").alias("held_out"), "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 @query()
 def op7_bpe_counts(spark, sf_dir):
     return token_counts(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
@@ -40,3 +57,8 @@ def op7_bpe_counts(spark, sf_dir):
 @query()
 def op8_packing(spark, sf_dir):
     return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+@query()
+def op9_weighted_sampling(spark, sf_dir):
+    return compare_with_next(_table(spark, sf_dir, "documents"))
