@@ -6,7 +6,9 @@ from answerloom.llm.bpe_counts import token_counts
 from answerloom.llm.packing import pack_documents
 from answerloom.llm.string_kernel import fit, labelled_sample, toxicity_scores
 from answerloom.llm.superminhash import near_duplicates
+from answerloom.llm.warc import read_archives, write_archives
 from answerloom.llm.weighted_sampling import compare_with_next
+from answerloom.session import work_dir
 
 QUERIES, ORACLES = {}, {}
 
@@ -49,6 +51,14 @@ def op4_string_kernel(spark, sf_dir):
         F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+@query()
+def op6_warc_salvage(spark, sf_dir):
+    path = work_dir(spark, "archives")
+    write_archives(_table(spark, sf_dir, "pages"), path)
+    return read_archives(spark, path, with_payload=False).where("status = 'valid'").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query()
 def op7_bpe_counts(spark, sf_dir):
     return token_counts(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
