@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from answerloom.llm.bpe_counts import token_counts
 from answerloom.llm.packing import pack_documents
+from answerloom.llm.secret_scan import describe, secret_spans
 from answerloom.llm.string_kernel import fit, labelled_sample, toxicity_scores
 from answerloom.llm.superminhash import near_duplicates
 from answerloom.llm.warc import read_archives, write_archives
@@ -72,3 +73,14 @@ def op8_packing(spark, sf_dir):
 @query()
 def op9_weighted_sampling(spark, sf_dir):
     return compare_with_next(_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_secret_scan(spark, sf_dir):
+    marked = secret_spans(_table(spark, sf_dir, "documents"))
+    spans = F.col("secret_spans")
+    count = lambda no: F.size(F.filter(spans, lambda s: s.kind_no == no)).cast("long")
+    return marked.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(describe(F.filter(spans, lambda s: s.kind_no < 3)), 256).alias("base_sha256"),
+        describe(spans).alias("spans"))

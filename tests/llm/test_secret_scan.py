@@ -1,0 +1,89 @@
+"""Secret spans against Python's regular expressions, and the battery on made strings."""
+
+import random
+import re
+from hashlib import sha256
+
+import numpy as np
+import pytest
+
+from answerloom.llm import queries, secret_scan as ss
+from conftest import SF
+
+PATTERNS = {
+    "assign": re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A),
+    "access": re.compile("AKIA[A-Z0-9]+"), "hex": re.compile("[0-9a-f]+"),
+}
+
+
+def base(text):
+    out = []
+    for no, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in pattern.finditer(text or ""):
+            if len(m[1] if kind == "assign" else m[0]) >= {"assign": 6, "access": 20, "hex": 24}[kind]:
+                out.append((m.start(), no, m.end(), kind))
+    return [f"{k}:{a}:{b}" for a, _, b, k in sorted(out)]
+
+
+def check(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["op10_secret_scan"](spark, str(tmp_path)).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(got) == docs.count()
+    for r in got:
+        want = base(texts[r.doc_id])
+        assert r.base_sha256 == sha256(",".join(want).encode()).hexdigest(), (texts[r.doc_id], want, r.spans)
+        assert [s for s in r.spans.split(",") if s and not s.startswith("random")] == want
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s.startswith(k) for s in want) for k in PATTERNS)
+    return {r.doc_id: r.spans for r in got}
+
+
+def test_given_documents(spark, tmp_path):
+    check(spark, spark.read.parquet(f"{SF}/documents.parquet"), tmp_path)
+
+
+def test_edge_texts(spark, tmp_path):
+    rng = random.Random(8)
+    words = ["token=", "Secret", "api_key", "APIKEY", ":", " ", "'", '"', "abc", "abcdef", "AKIA", "XYZ123", "0123456789abcdef", "é🙂", "==", "\n"]
+    texts = [None, "", "x", "token=secret=abcdef", "token: token: abcdefg", "AKIA" + "Z" * 16, "AKIA" + "Z" * 15, "xAKIAAKIA" + "0" * 16,
+             "a" * 24, "g" + "a" * 23, "éé password = 'abcdef' token=short", "ſecret=abcdef toKen=abcdef", "passwd:" + "x" * 100_000,
+             "0123456789abcdef01234567 " * 400]
+    texts += ["".join(rng.choices(words, k=rng.randint(1, 12))) for _ in range(800)]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, n int, secret_spans string")
+    check(spark, docs.repartition(3), tmp_path)
+    redacted = {r.doc_id: r.text for r in ss.redact_secrets(docs).collect()}
+    assert redacted[3] == "[SECRET]" and redacted[0] is None and redacted[10] == "éé [SECRET]' token=short"
+    assert redacted[4] == texts[4] and ss.redact_secrets(docs).columns == docs.columns
+    assert ss.secret_spans(docs.limit(0)).count() == 0
+
+
+def scores(spark, tokens):
+    return np.array([r.s for r in spark.createDataFrame([(t,) for t in tokens], "t string").select(ss.battery(ss.F.col("t")).alias("s")).collect()])
+
+
+@pytest.mark.parametrize("alphabet", ss.SYMBOLS.values())
+def test_battery_of_random_strings_is_near_its_null(spark, alphabet):
+    rng = random.Random(1)
+    letters = alphabet[:64]
+    found = scores(spark, ["".join(rng.choices(letters, k=40)) for _ in range(1500)])
+    assert abs(found.mean() - 6) < 1.2 and (found > 22.5).mean() < 0.01
+
+
+def test_battery_rejects_words_and_patterns(spark):
+    words = ["internationalization", "verantwortungsvollerweise", "aaaaaaaaaaaaaaaaaaaa", "abababababababababab", "0000000011111111222222", "abcdefghijklmnopqrst"]
+    assert (scores(spark, words) > 22.5).all()
+
+
+def test_random_strings_are_found_and_words_are_not(spark, tmp_path):
+    rng = random.Random(5)
+    key = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    rows, keys = [], {}
+    for i in range(600):
+        long_words = " ".join("".join(rng.choices(["en", "ver", "ung", "heit", "sch"], k=6)) for _ in range(8))
+        keys[i] = key(40) if i % 2 else None
+        rows.append((i, f"été {long_words} {keys[i] or 'name_of_the_value_1'} end"))
+    spans = check(spark, spark.createDataFrame(rows, "doc_id long, text string"), tmp_path)
+    hit = [bool(spans[i]) for i in range(600)]
+    assert np.mean(hit[1::2]) > 0.95 and np.mean(hit[::2]) < 0.02
+    place = rows[1][1].index(keys[1])
+    assert spans[1] == f"random:{place}:{place + 40}"
