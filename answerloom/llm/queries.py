@@ -3,10 +3,13 @@
 from pyspark.sql import functions as F
 
 from answerloom.llm.bpe_counts import token_counts
+from answerloom.llm.decontamination import leaks
 from answerloom.llm.packing import pack_documents
+from answerloom.llm.pseudonyms import pseudonymise
 from answerloom.llm.secret_scan import describe, secret_spans
 from answerloom.llm.string_kernel import fit, labelled_sample, toxicity_scores
 from answerloom.llm.superminhash import near_duplicates
+from answerloom.llm.url_lists import blocked_captures, url_keys
 from answerloom.llm.warc import read_archives, write_archives
 from answerloom.llm.weighted_sampling import compare_with_next
 from answerloom.session import work_dir
@@ -28,6 +31,12 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query()
+def op1_decontamination(spark, sf_dir):
+    """Benchmark items in documents, a row per document and item."""
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
 @query()
 def op2_superminhash(spark, sf_dir):
     return near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)
@@ -39,6 +48,74 @@ def _tokenizer(name):
     return public_tokenizers.path(name)
 
 
+def _byte(text, n):
+    """The n-th byte of the md5 of a text."""
+    digit = lambda i: F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(text), i, 1)) - 1
+    return digit(2 * n + 1) * 16 + digit(2 * n + 2)
+
+
+def _list_events(pages):
+    """Dated list entries for the hosts and first path segments that pages have, drawn by md5."""
+    keys = pages.select(url_keys(F.col("url")).alias("k")).where("k IS NOT NULL")
+    hosts = keys.select(F.lit("hosts").alias("list"), F.col("k")[0].alias("key"))
+    paths = keys.select(F.lit("paths").alias("list"), F.explode(F.filter("k", lambda k: F.size(F.split(k, "/")) == 2)).alias("key"))
+    drawn = hosts.unionByName(paths).distinct().where(_byte(F.col("key"), 0) % 2 == 0)
+    byte = lambda n: _byte(F.col("key"), n)
+    start = F.date_add(F.lit("2024-01-01").cast("date"), byte(1))
+    stop = F.date_add(start, byte(2) + 1)
+    again = F.date_add(stop, byte(3) + 1)
+    event = lambda day, action: F.struct(day.alias("day"), F.lit(action).alias("action"))
+    steps = F.array(event(start, "add"), event(stop, "remove"), event(again, "add"))
+    return drawn.select("list", "key", F.explode(F.slice(steps, F.lit(1), byte(4) % 3 + 1)).alias("e")).select("list", "key", "e.*")
+
+
+_HOST = r"""regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)(?::[0-9]*)?([^?#]*)', 1)), '\.+$', '')"""
+_PATH = r"""regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)(?::[0-9]*)?([^?#]*)', 2)"""
+
+
+def _byte_sql(text, n):
+    digit = "(strpos('0123456789abcdef', substr(md5({}), {}, 1)) - 1)"
+    return f"({digit.format(text, 2 * n + 1)} * 16 + {digit.format(text, 2 * n + 2)})"
+
+
+URL_LISTS_SQL = f"""
+WITH parsed AS (
+  SELECT page_id, url, {_HOST} AS host, list_filter(string_split({_PATH}, '/'), lambda x: x <> '') AS segs,
+         DATE '2024-01-01' + CAST({_byte_sql("CAST(page_id AS VARCHAR)", 0)} * 2 AS INTEGER) AS day FROM pages),
+keyed AS (
+  SELECT page_id, host, day, CASE WHEN host <> '' THEN list_distinct(list_concat(
+      list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+      list_transform(range(1, len(segs) + 1), lambda i: host || '/' || array_to_string(segs[:i], '/')))) END AS ks
+  FROM parsed),
+names AS (
+  SELECT DISTINCT 'hosts' AS list, host AS key FROM parsed WHERE host <> ''
+  UNION SELECT DISTINCT 'paths', host || '/' || segs[1] FROM parsed WHERE host <> '' AND len(segs) > 0),
+drawn AS (
+  SELECT list, key, DATE '2024-01-01' + CAST({_byte_sql("key", 1)} AS INTEGER) AS start,
+         CAST({_byte_sql("key", 2)} AS INTEGER) + 1 AS n, CAST({_byte_sql("key", 3)} AS INTEGER) + 1 AS m,
+         {_byte_sql("key", 4)} % 3 AS kind
+  FROM names WHERE {_byte_sql("key", 0)} % 2 = 0),
+spans AS (
+  SELECT list, key, start AS valid_from, CASE WHEN kind > 0 THEN start + n END AS valid_to FROM drawn
+  UNION ALL SELECT list, key, start + n + m, NULL FROM drawn WHERE kind = 2),
+hits AS (
+  SELECT k.page_id, s.key FROM (SELECT page_id, day, unnest(ks) AS key FROM keyed) k JOIN spans s
+    ON k.key = s.key AND s.valid_from <= k.day AND (s.valid_to IS NULL OR k.day < s.valid_to)),
+best AS (
+  SELECT page_id, count(*) AS n_entries, arg_min(key, (-length(key), key)) AS entry FROM hits GROUP BY page_id)
+SELECT p.page_id, p.day, b.n_entries IS NOT NULL AS blocked, coalesce(b.n_entries, 0) AS n_entries, b.entry
+FROM parsed p LEFT JOIN best b ON p.page_id = b.page_id"""
+
+
+@query(URL_LISTS_SQL)
+def op3_url_lists(spark, sf_dir):
+    """Pages against dated list entries; the tables give neither fetch days nor lists, so both are drawn by md5."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn(
+        "day", F.date_add(F.lit("2024-01-01").cast("date"), _byte(F.col("page_id").cast("string"), 0) * 2))
+    return blocked_captures(captures, _list_events(pages)).drop("url")
+
+
 def _held_out(id_col):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
@@ -52,6 +129,15 @@ def op4_string_kernel(spark, sf_dir):
         F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+@query()
+def op5_pseudonyms(spark, sf_dir):
+    """Documents that hold personal values, with pseudonyms in their place."""
+    found = pseudonymise(_table(spark, sf_dir, "documents"), key="of-the-corpus")
+    kinds = F.array_join(F.transform("pseudonyms", lambda p: F.concat_ws("=", p.kind, p.pseudonym)), ",")
+    return found.where(F.size("pseudonyms") > 0).select(
+        "doc_id", F.size("pseudonyms").alias("n_values"), kinds.alias("pseudonyms"), "text")
+
+
 @query()
 def op6_warc_salvage(spark, sf_dir):
     path = work_dir(spark, "archives")
