@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from answerloom.llm import graph
+from answerloom.llm.textscan import gather
 from answerloom.session import cut_lineage, ship_package
 
 SLOTS, ROWS = 200, 5
@@ -140,6 +141,55 @@ def _verified(links, sets, percent):
     )
 
 
+def _compare_blocks(percent, table):
+    """Links of one block of queries with one block of members, by counting common shingles."""
+    import pyarrow as pa
+
+    ids, owner = table["id"].to_numpy(), table["c"].to_numpy()
+    asks = table["asks"].to_numpy(zero_copy_only=False)
+    column = table["shingles"].combine_chunks()
+    sizes = column.value_lengths().to_numpy()
+    flat, ends = column.flatten().to_numpy(), np.cumsum(sizes)
+    rows = np.flatnonzero(~asks)
+    mine = np.repeat(~asks, sizes)
+    values, place = flat[mine], np.repeat(np.arange(len(rows)), sizes[rows])
+    order = np.argsort(values, kind="stable")
+    values, place = values[order], place[order]
+    found = []
+    for q in np.flatnonzero(asks).tolist():
+        own = flat[ends[q] - sizes[q]:ends[q]]
+        low, high = np.searchsorted(values, own), np.searchsorted(values, own, "right")
+        both = np.bincount(place[gather(low, high - low)], minlength=len(rows))
+        near = 100 * both >= percent * (sizes[q] + sizes[rows] - both)
+        found += [(ids[q], ids[m]) for m in rows[near & (owner[rows] != owner[q])]]
+    return pa.Table.from_pydict({
+        "a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
+def _across(split, sets, percent, block=400_000):
+    """Links between different components among the members of a hub's mixed buckets.
+
+    Per hub all members outside its largest component are queries against all
+    its members. Both sides are dealt into blocks of about ``block`` shingles; a
+    task compares two blocks and returns links only, so no pairs are written out.
+    """
+    sized = split.join(sets.select("id", F.size("shingles").alias("n")), "id")
+    parts = sized.groupBy("hub", "c").agg(F.count("*").alias("rows"), F.sum("n").alias("size"))
+    hubs = parts.groupBy("hub").agg(
+        F.max_by("c", F.struct("rows", "c")).alias("main"), F.max_by("size", F.struct("rows", "c")).alias("main_size"),
+        F.sum("size").alias("size"))
+    plan = hubs.select(
+        "hub", "main", F.ceil(F.col("size") / block).alias("blocks"),
+        F.greatest(F.ceil((F.col("size") - F.col("main_size")) / block), F.lit(1)).alias("asking"))
+    rows = split.join(plan, "hub")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    queries = rows.where("c <> main").withColumn("y", own("asking")).withColumn("x", each("blocks")).withColumn("asks", F.lit(True))
+    members = rows.withColumn("x", own("blocks")).withColumn("y", each("asking")).withColumn("asks", F.lit(False))
+    both = queries.unionByName(members).select("hub", "x", "y", "id", "c", "asks").join(sets, "id")
+    return both.groupBy("hub", "x", "y").applyInArrow(partial(_compare_blocks, percent), "a long, b long")
+
+
 def near_duplicates(docs, id_col="doc_id", text_col="text", k=5, percent=80, slots=SLOTS, rows=ROWS):
     """Groups of near copies: ``(id_col, n_shingles, component_id, kept)``.
 
@@ -155,9 +205,9 @@ def near_duplicates(docs, id_col="doc_id", text_col="text", k=5, percent=80, slo
     3. Every bucket links its members to its smallest id. These links are
        verified on full sets: per member first the hub it meets most often,
        then whatever still joins two components.
-    4. Buckets that still hold several components are compared pair by pair
-       across components, also on full sets, so that no link between two
-       bucket members is lost.
+    4. Buckets that still hold several components: all their members outside the
+       largest one are queries against the bucket, in blocks, also on full
+       sets, so that no link between two bucket members is lost.
 
     Ids must be long and unique for a group to keep exactly one row; rows that
     repeat an id count as one document. Rows with a NULL id are left out. NULL
@@ -206,17 +256,10 @@ def near_duplicates(docs, id_col="doc_id", text_col="text", k=5, percent=80, slo
     if not more.isEmpty():
         label = cut_lineage(graph.components(links), "components")
     placed = members.join(label, "id", "left").select(
-        "band", "id", F.coalesce("component_id", "id").alias("c"))
+        "hub", "band", "id", F.coalesce("component_id", "id").alias("c"))
     mixed = placed.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
-    split = cut_lineage(placed.join(mixed.select("band"), "band"), "mixed-buckets")
-    pairs = (
-        split.select("band", F.col("id").alias("a"), F.col("c").alias("ca"))
-        .join(split.select("band", F.col("id").alias("b"), F.col("c").alias("cb")), "band")
-        .where("ca < cb").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("shared"))
-    )
-    # Star links were compared above; the rest is new.
-    pairs = pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
-    rest = cut_lineage(_verified(pairs, sets, percent), "links-3")
+    split = cut_lineage(placed.join(mixed.select("band"), "band").select("hub", "id", "c").distinct(), "mixed-hubs")
+    rest = cut_lineage(_across(split, sets, percent), "links-3")
     if not rest.isEmpty():
         label = cut_lineage(graph.components(links.unionByName(rest)), "components")
     named = reps.join(label.withColumnRenamed("id", "rep"), "rep", "left").select(
