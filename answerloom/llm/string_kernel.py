@@ -14,20 +14,31 @@ from answerloom.session import ship_package
 ORDER, SPAN, DECAY, LONGEST = 4, 8, 0.6, 16
 SYMBOLS = 32
 BEGIN, END, OTHER = 27, 28, 29
-LANDMARKS, ROUNDS = 192, 3
+LANDMARKS, ROUNDS = 160, 2
+#: A text is judged by so many of its units, whose values count from FLOOR up.
+BEST, FLOOR = 3, -0.5
+#: Log-likelihood ratio (chi-squared, one degree) that a first piece of evidence must reach.
+SIGNIFICANT = 28
 
 #: Characters that stand in for letters.
 LOOKALIKE = str.maketrans("01345@$7!|", "oieasastii")
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+SPELLED = re.compile(r"[^\W_](?:[\W_]+[^\W_]){2,}")
 SENTENCE = re.compile(r"[.?!\n]\s+|\n")
 
 
 @lru_cache(maxsize=200_000)
 def fold(word):
-    """Lower-case base letters of a word; marks at its ends go, marks inside stay as gaps."""
+    """Lower-case base letters of a word; marks at its ends go, marks inside stay as gaps.
+
+    Letters that are all set apart (``i.d-i.o.t``) are joined.
+    """
     word = word if word.isascii() else "".join(
         c for c in unicodedata.normalize("NFKD", word.replace("ß", "ss")) if not unicodedata.combining(c))
-    return EDGE.sub("", word.lower()).translate(LOOKALIKE)
+    word = EDGE.sub("", word.lower())
+    if SPELLED.fullmatch(word):
+        word = re.sub(r"[\W_]", "", word)
+    return word.translate(LOOKALIKE)
 
 
 @lru_cache(maxsize=None)
@@ -114,16 +125,50 @@ def _svm(x, y, cost, ridge=1.0):
     return w
 
 
-def _sigmoid_fit(values, y):
-    """Slope and offset of P(y | value) with both classes weighing the same."""
-    target = np.where(y, 0.98, 0.02)
-    weight = np.where(y, 0.5 / max(1, y.sum()), 0.5 / max(1, (~y).sum()))
-    x = np.stack([values, np.ones(len(values))], axis=1)
-    w = np.zeros(2)
-    for _ in range(50):
+def _top(row, values, rows):
+    """The BEST highest distinct values of every row, highest first, from (row, value) pairs."""
+    out = np.full((rows, BEST), FLOOR)
+    high = values > FLOOR
+    order = np.lexsort((-values[high], row[high]))
+    row, values = row[high][order], values[high][order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (values[1:] != values[:-1])
+    row, values = row[new], values[new]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    kept = place < BEST
+    out[row[kept], place[kept]] = values[kept]
+    return out
+
+
+def _merged(a, b):
+    """The highest distinct values of two such tables."""
+    both = np.hstack([a, b])
+    return _top(np.repeat(np.arange(len(a)), both.shape[1]), both.reshape(-1), len(a))
+
+
+def _monotone(values, y):
+    """Logistic weights of which none is negative (such a column is left out), and an offset."""
+    used = list(range(values.shape[1]))
+    while True:
+        w = _logistic(values[:, used], y)
+        if len(used) == 1 or w[:-1].min() >= 0:
+            break
+        used.pop(int(w[:-1].argmin()))
+    out = np.zeros(values.shape[1] + 1)
+    out[[*used, -1]] = w
+    return out
+
+
+def _logistic(values, y):
+    """Weights of P(y | values) and an offset, with Platt's smoothed targets."""
+    n, m = y.sum(), (~y).sum()
+    target = np.where(y, (n + 1) / (n + 2), 1 / (m + 2))
+    x = np.hstack([values, np.ones((len(values), 1))])
+    w, ridge = np.zeros(x.shape[1]), 1e-5 * np.eye(x.shape[1])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (weight * (p - target)) + 1e-4 * w
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(2)
+        grad = x.T @ (p - target) / len(y) + ridge @ w
+        hess = (x * (p * (1 - p) / len(y))[:, None]).T @ x + ridge
         step = np.linalg.solve(hess, grad)
         w -= np.clip(step, -2, 2)
         if abs(step).max() < 1e-7:
@@ -155,43 +200,66 @@ def sentence_units(text):
     return sentences
 
 
-def fit(texts, toxic, landmarks=LANDMARKS, rounds=ROUNDS, negatives=12_000):
+def _grams(unit):
+    """Four symbols in a row of a unit between its end marks."""
+    marked = f"^{unit}$"
+    return [marked[i:i + ORDER] for i in range(len(marked) - ORDER + 1)]
+
+
+def fit(texts, toxic, landmarks=LANDMARKS, rounds=ROUNDS, negatives=8_000):
     """A model from labelled texts; None unless both labels occur.
 
     Instances are sentences. Those of clean texts are negative; a toxic text
-    gives the sentence that holds its most telling unit, at first by the units'
-    log odds over texts, then, in every further round, by the machine itself.
+    gives the sentence that holds its most telling unit, and others with telling units, at first by the
+    log odds of the units' four-symbol pieces over texts, then, in every further round, by the machine itself.
     The kernel of two units counts their common subsequences of four symbols, each weighted by
     0.6 per skipped place within a span of eight. Landmarks are frequent
     telling units and evenly drawn other units; the linear machine on the
     Nyström map is folded back into one weight per subsequence, which gives the same values.
+    A logistic rule turns a text's three highest values into its score.
     """
     toxic = np.array(toxic, bool)
     bags = [sentence_units(t) for t in texts]
     bags, toxic = [b for b in bags if b], toxic[[bool(b) for b in bags]]
     if not toxic.any() or toxic.all():
         return None
-    seen = [{}, {}]
+    # Counted over distinct sentences, so that copies of a text are no evidence of their own.
+    seen, grams, met = [{}, {}], [{}, {}], [set(), set()]
     for bag, y in zip(bags, toxic):
-        for unit in set().union(*bag):
-            seen[int(y)][unit] = seen[int(y)].get(unit, 0) + 1
-    n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
-    odds = {
-        u: np.log((n + 0.5) / (n_toxic + 1)) - np.log((seen[0].get(u, 0) + 0.5) / (n_clean + 1))
-        for u, n in seen[1].items()
-    }
+        for units in map(frozenset, bag):
+            if units not in met[int(y)]:
+                met[int(y)].add(units)
+                for found, counts in ((units, seen[int(y)]), ({g for u in units for g in _grams(u)}, grams[int(y)])):
+                    for x in found:
+                        counts[x] = counts.get(x, 0) + 1
+    n_toxic, n_clean = len(met[1]), len(met[0])
+
+    def odds(x, counts):
+        return np.log((counts[1].get(x, 0) + 0.5) / (n_toxic + 1)) - np.log((counts[0].get(x, 0) + 0.5) / (n_clean + 1))
+
+    def ratio(x, counts):
+        a, b = counts[1].get(x, 0), counts[0].get(x, 0)
+        rate = (a + b) / (n_toxic + n_clean)
+        cells = ((a, rate * n_toxic), (b, rate * n_clean), (n_toxic - a, (1 - rate) * n_toxic), (n_clean - b, (1 - rate) * n_clean))
+        return 2 * sum(n * np.log(n / due) for n, due in cells if n)
+
+    telling = {g: odds(g, grams) for g in grams[1] if odds(g, grams) > 1 and ratio(g, grams) > SIGNIFICANT}
+    value = {u: max((telling.get(g, 0.0) for g in _grams(u)), default=0.0) for u in {*seen[0], *seen[1]}}
     clean = sorted(seen[0])
     every = max(1, len(clean) // negatives)
-    value, hard, model = odds, [], None
+    hard, model = [], None
     for _ in range(rounds):
         witness = {}
         for bag, y in zip(bags, toxic):
             if y:
                 sentence = max(bag, key=lambda s: (max(value[u] for u in s), min(s)))
                 unit = max(sentence, key=lambda u: (value[u], u))
-                witness[unit] = witness.get(unit, 0) + 1
-        # A unit that clean texts hold as often tells nothing.
-        positive = sorted((u for u in witness if odds[u] > 1 and encode(u)), key=lambda u: (-witness[u], u))
+                for u in {unit, *(u for s in bag for u in s if value[u] > 0)}:
+                    witness[u] = witness.get(u, 0) + 1
+        # A unit that clean texts hold as often, or that shares no evidence with other texts, gives none.
+        positive = sorted(
+            (u for u in witness if encode(u) and odds(u, seen) > 1 and any(g in telling for g in _grams(u))),
+            key=lambda u: (-witness[u], u))
         if not positive:
             return None
         held = set(positive)
@@ -203,12 +271,18 @@ def fit(texts, toxic, landmarks=LANDMARKS, rounds=ROUNDS, negatives=12_000):
         values, vectors = np.linalg.eigh((kzz + kzz.T).astype(np.float64) / 2)
         good = values > 1e-4 * values[-1]
         root = vectors[:, good] / np.sqrt(values[good])
-        units = positive + negative
+        # Units that clean texts hold too stand on both sides, in proportion to their sentences.
+        shared = [u for u in positive if u in seen[0]]
+        units = positive + negative + shared
         x = _landmark_kernel(units, marks)[0] @ root
         y = np.where(np.arange(len(units)) < len(positive), 1.0, -1.0)
-        times = np.array([witness[u] for u in positive] + [1 + np.log1p(seen[0].get(u, 0)) for u in negative], float)
-        cost = times / np.where(y > 0, times[y > 0].sum(), times[y < 0].sum()) * 200
-        w = _svm(x, y, cost)
+        own = np.array([witness[u] for u in positive], float)
+        own *= 200 / own.sum()
+        other = np.array([1 + np.log1p(seen[0].get(u, 0)) for u in negative])
+        other *= 200 / other.sum()
+        price = dict(zip(positive, own))
+        both = np.array([price[u] * seen[0][u] / max(1, seen[1].get(u, 0)) for u in shared])
+        w = _svm(x, y, np.concatenate([own, other, both]))
         alpha = root @ w[:-1]
         primal = np.zeros(SYMBOLS**ORDER, np.float32)
         for i, row, weights in cells:
@@ -217,8 +291,9 @@ def fit(texts, toxic, landmarks=LANDMARKS, rounds=ROUNDS, negatives=12_000):
         names = sorted({*seen[0], *seen[1]})
         value = dict(zip(names, unit_scores(model, names).tolist()))
         hard = sorted(seen[0], key=lambda u: (-value[u], u))[:2_000]
-    best = np.array([max(value[u] for s in bag for u in s) for bag in bags])
-    model["slope"], model["offset"] = _sigmoid_fit(best, toxic).tolist()
+    pairs = [(i, value[u]) for i, bag in enumerate(bags) for s in bag for u in s]
+    best = _top(np.array([i for i, _ in pairs]), np.array([v for _, v in pairs]), len(bags))
+    model["weights"] = _monotone(best, toxic)
     return model
 
 
@@ -240,7 +315,7 @@ def _score(model, batches):
     for batch in batches:
         for part in pieces(batch):
             data, offsets = text_bytes(part.column(1))
-            best = np.full(part.num_rows, -3.0)
+            best = np.full((part.num_rows, BEST), FLOOR)
             for at, end in blocks(data, offsets):
                 own, first = data[at:end], row_starts(offsets, at, end)
                 space = SPACE[own]
@@ -251,7 +326,7 @@ def _score(model, batches):
                 row = np.searchsorted(offsets, starts + at, "right") - 1
                 slots = memo.find(span_hashes(own, starts, ends, lower=True), lambda new: memo.values.extend(
                     unit_scores(model, [fold(own[starts[i]:ends[i]].tobytes().decode()) for i in new.tolist()])))
-                np.maximum.at(best, row, memo.values.array[slots])
+                found = [(row, memo.values.array[slots])]
                 single = np.flatnonzero((ends - starts == 1) | ((ends - starts == 2) & (own[starts] == 0xC3)))
                 runs = np.split(single, np.flatnonzero((np.diff(single) != 1) | (np.diff(row[single]) != 0)) + 1)
                 for run in runs:
@@ -259,12 +334,14 @@ def _score(model, batches):
                         words = [own[starts[i]:ends[i]].tobytes().decode() for i in run.tolist()]
                         joined = [fold(w) for w in _spelled(words)]
                         if joined:
-                            best[row[run[0]]] = max(best[row[run[0]]], unit_scores(model, joined).max())
-            score = 1 / (1 + np.exp(-np.clip(model["slope"] * best + model["offset"], -30, 30)))
+                            found.append((np.full(len(joined), row[run[0]]), unit_scores(model, joined)))
+                best = _merged(best, _top(*map(np.concatenate, zip(*found)), len(best)))
+            logit = best @ model["weights"][:-1] + model["weights"][-1]
+            score = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score)], ["id", "score"])
 
 
-def labelled_sample(docs, labels, id_col="doc_id", text_col="text", label_col="toxic", toxic_rows=2_000, clean_rows=4_000):
+def labelled_sample(docs, labels, id_col="doc_id", text_col="text", label_col="toxic", toxic_rows=1_500, clean_rows=3_000):
     """At most so many texts of either label, by the hash of their id: ``(texts, labels)``.
 
     The bound holds for the classifier's training alone. Only ids are sorted; the
@@ -285,8 +362,8 @@ def labelled_sample(docs, labels, id_col="doc_id", text_col="text", label_col="t
 def toxicity_scores(docs, model, id_col="doc_id", text_col="text"):
     """``(id_col, score)`` for every row, in one pass without a shuffle.
 
-    A text scores as its most toxic unit: a blank-separated word, or a run of
-    spelled-out letters, between its sentences' ends. Texts without letters, NULL and
+    A text is judged by its three most toxic distinct units: blank-separated words, or runs of
+    spelled-out letters. Texts without letters, NULL and
     empty texts get the lowest score; without a model (labels of one kind
     only) every score is 0. Rows with NULL or repeated ids are scored like any other.
     """
