@@ -64,7 +64,7 @@ def test_primal_values_equal_the_dual_and_gaps_are_tolerated(spark):
     got = {r.doc_id: r.score for r in sk.toxicity_scores(docs.repartition(3), model).collect()}
     # Spelled-out and disguised forms count in full; one inserted character leaves a text far above clean ones.
     clean = max(got[100 + i] for i in range(100))
-    assert all(got[i] >= 0.7 for i in (0, 2, 4, 5)) and all(got[i] > 0.5 > 2 * clean for i in (1, 3, 6)), ([got[i] for i in range(7)], clean)
+    assert all(got[i] >= 0.7 for i in (0, 2, 4, 5)) and all(got[i] > 10 * clean for i in (1, 3, 6)), ([got[i] for i in range(7)], clean)
     assert sum(got[100 + i] >= 0.7 for i in range(100)) == 0 and max(got[i] for i in (900, 901, 902, 903)) < 0.1 and got[904] >= 0.7
     kept = sk.drop_toxic(docs, model)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, s in got.items() if s < 0.7}
