@@ -43,18 +43,34 @@ def _line(text, label=""):
     return F.when(text != "", F.concat(F.lit(label), text))
 
 
-def pair_text(df, max_chars=12_000, style="standard"):
+def _parts(df, max_chars):
+    """Title, body, tags and answer as texts, with the share of ``max_chars`` each may use."""
+    shares = {"title": 4, "question_body": 2, "tags": 8, "answer_body": 1}
+    return {c: (column_text(df, c), None if max_chars is None else max_chars // n) for c, n in shares.items()}
+
+
+def text_is_cut(df, max_chars=None):
+    """Whether ``pair_text`` with this limit leaves out characters of the row."""
+    if max_chars is None:
+        return F.lit(False)
+    cut = F.lit(False)
+    for text, limit in _parts(df, max_chars).values():
+        cut = cut | (F.char_length(text) > limit)
+    return cut
+
+
+def pair_text(df, max_chars=None, style="standard"):
     """The text of one question/answer pair of ``df`` as a column.
 
-    Title, question body and tags may use a quarter, a half and an eighth of
-    ``max_chars``; the answer may use all of it.
+    Texts are whole unless ``max_chars`` is given: then title, question body and
+    tags may use a quarter, a half and an eighth of it, the answer all of it
+    (``text_is_cut`` tells which rows lose something).
     """
     if style not in STYLES:
         raise ValueError(f"unknown style {style!r}, use one of {STYLES}")
-    title = column_text(df, "title", max_chars // 4)
-    body = column_text(df, "question_body", max_chars // 2)
-    tags = column_text(df, "tags", max_chars // 8)
-    answer = column_text(df, "answer_body", max_chars)
+    title, body, tags, answer = (
+        text if limit is None else F.substring(text, 1, limit) for text, limit in _parts(df, max_chars).values()
+    )
     if style == "grounded_qa":
         lines = [
             F.lit(GROUNDED_OPEN), F.lit(GROUNDED_QUESTION), _line(title, "Title: "),

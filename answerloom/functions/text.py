@@ -27,6 +27,18 @@ def py_words(c):
     return F.filter(F.split(c, rf"(?U){PY_SPACE}+"), lambda w: w != "")
 
 
+def _number_text(c):
+    """A double as Python prints it: plain from 1e-4 up to 1e16, else with a signed two-digit exponent."""
+    plain = F.regexp_replace(c.try_cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
+    short = F.regexp_replace(c.cast("string"), r"\.0E", "E")
+    padded = F.regexp_replace(F.regexp_replace(short, r"E(\d)", "e+$1"), "E-", "e-")
+    signed = F.regexp_replace(padded, r"e([+-])(?=\d$)", r"e$1\0")
+    size = F.abs(c)
+    return (
+        F.when(F.isnan(c), "nan").when(size == float("inf"), F.when(c > 0, "inf").otherwise("-inf"))
+        .when(c == 0, c.cast("string")).when((size >= 1e-4) & (size < 1e16), plain).otherwise(signed))
+
+
 def _raw_text(c, dtype):
     if isinstance(dtype, T.StringType):
         return c
@@ -45,6 +57,16 @@ def _raw_text(c, dtype):
         )
         kept = F.filter(entries, lambda e: e["v"] != "")
         return F.array_join(F.transform(kept, lambda e: F.concat(e["k"], F.lit(": "), e["v"])), ", ")
+    if isinstance(dtype, T.StructType):
+        # The columnar form of a dict: absent and empty fields are left out.
+        parts = F.array(*[
+            F.struct(F.lit(f.name).alias("k"), to_text(c[f.name], f.dataType).alias("v")) for f in dtype.fields
+        ]) if dtype.fields else F.array()
+        kept = F.filter(parts, lambda e: e["v"] != "")
+        return F.when(c.isNotNull(), F.array_join(
+            F.transform(kept, lambda e: F.concat(e["k"], F.lit(": "), e["v"])), ", ")) if dtype.fields else F.lit("")
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return _number_text(c.cast("double"))
     if isinstance(dtype, T.BooleanType):
         return F.initcap(c.cast("string"))
     return c.cast("string")
@@ -54,7 +76,7 @@ def to_text(c, dtype, max_chars=None):
     """Any column as clean text; ``dtype`` is known when the plan is built.
 
     NULL becomes ``''``; arrays are joined with ``", "`` without their empty
-    parts; maps become ``"k: v"`` pairs; bytes are read as UTF-8 with
+    parts; maps and structs become ``"k: v"`` pairs; bytes are read as UTF-8 with
     replacement. The text is stripped, then cut to ``max_chars`` code points.
     """
     text = py_strip(F.coalesce(_raw_text(c, dtype), F.lit("")))

@@ -79,15 +79,19 @@ def _numbers(first, last):
 
 def plan_batches(
     rows, batch_size, multiplier=4, epochs=1, shuffle_files=True, shuffle_rows=True,
-    drop_last=True, devices=None, seed=42, min_row_batch=256,
+    drop_last=True, devices=None, seed=42, min_row_batch=256, first=None,
 ):
     """Give every row its ``epoch``, ``batch_id``, ``pos`` and optional ``device_id``.
 
     ``rows`` carries ``file`` and ``row_index``. Files are shuffled, then rows
     inside row batches of ``max(batch_size * multiplier, min_row_batch)``; rows
     never leave their row batch. Each row batch is cut into batches, and
-    ``drop_last`` drops its short piece. All rows are shuffled once, by
-    (epoch, file, row batch), a key that holds at most one row batch.
+    ``drop_last`` drops its short piece. ``first`` keeps the first batches of
+    every epoch only, and prunes the row batches behind them at once.
+
+    Places are worked out on (file, row_index) alone, by (epoch, file, row
+    batch), a key that holds at most one row batch. The rows themselves are
+    shuffled once, whatever the number of epochs, when they meet their places.
     """
     if devices is not None:
         if batch_size % devices:
@@ -97,7 +101,9 @@ def plan_batches(
     row_batch = max(batch_size * multiplier, min_row_batch)
     files = rows.groupBy("file").agg(F.count("*").alias("n"))
     slots = row_batches(files, batch_size, row_batch, epochs, shuffle_files, drop_last, seed)
-    keyed = rows.withColumns({
+    if first is not None:
+        slots = slots.where(F.col("_batch") < first)
+    keyed = rows.select("file", "row_index").withColumns({
         "epoch": F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))),
         "row_batch": F.floor(F.col("row_index") / row_batch),
     })
@@ -117,7 +123,10 @@ def plan_batches(
     })
     if devices is not None:
         out = out.withColumn("device_id", F.floor(F.col("pos") / (batch_size // devices)).cast("int"))
-    return out.drop("_size", "_batch", "_order", "_at", "_piece")
+    if first is not None:
+        out = first_batches(out, first)
+    places = out.drop("_size", "_batch", "_order", "_at", "_piece")
+    return rows.join(places, ["file", "row_index"])
 
 
 def first_batches(batches, n):

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F, types as T
 
 from answerloom.functions.ids import pad_right
-from answerloom.functions.templates import pair_text
+from answerloom.functions.templates import pair_text, text_is_cut
 from answerloom.operators.tokenizer import SPECIALS, every_other, segments, token_bytes
 from answerloom.session import ship_package
 
@@ -134,11 +134,16 @@ def id_rows(df, ids, max_len, pad=0):
     }).drop("_ids")
 
 
-def tokenize_pairs(pairs, model, max_seq_len=1024, max_chars=12_000, style="standard"):
-    """Template, encode, cut and pad every pair; keys and split stay with the row."""
+def tokenize_pairs(pairs, model, max_seq_len=1024, max_chars=None, style="standard"):
+    """Template, encode, cut and pad every pair; keys and split stay with the row.
+
+    ``truncated`` rows have more ids than ``max_seq_len``, ``text_cut`` rows more
+    characters than ``max_chars`` allows.
+    """
     encode = encoder(pairs.sparkSession, model)
     keys = [c for c in ("question_id", "answer_id", "split") if c in pairs.columns]
-    texts = pairs.select(*keys, pair_text(pairs, max_chars, style).alias("_text"))
+    texts = pairs.select(
+        *keys, text_is_cut(pairs, max_chars).alias("text_cut"), pair_text(pairs, max_chars, style).alias("_text"))
     return id_rows(texts, encode(F.col("_text")), max_seq_len, model.token_id("<pad>")).drop("_text")
 
 

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from answerloom.session import cut_lineage
+
 PREFIX = 4  # hex digits, 65,536 rank ranges
 
 
@@ -13,15 +15,19 @@ def rank_column(seed, *keys):
 def keyed_sample(df, n, key, seed=42):
     """Exactly ``min(n, rows)`` rows: those with the smallest rank of ``key``.
 
-    Runs two small jobs over the key column: row counts per rank range (at most
-    65,536 numbers reach the driver), then the cut inside the one range where
-    the count passes ``n``. The rows themselves are only filtered, not sorted.
+    Rows that share a key (or have none) are told apart by a hash of all their
+    columns; of rows that are equal altogether as many are taken as are still
+    wanted. The ranks are saved once as a narrow table, from which row counts
+    per rank range (at most 65,536 numbers) and the one range where the count
+    passes ``n`` are read; the rows themselves are only filtered, not sorted.
     """
     if n <= 0:
         raise ValueError("sample size must be positive")
-    ranked = df.withColumn("_rank", rank_column(seed, key))
+    ranked = df.withColumns({
+        "_rank": rank_column(seed, key), "_row": F.md5(F.to_json(F.struct(*[F.col(c) for c in df.columns])))})
+    ranks = cut_lineage(ranked.select("_rank", "_row"), "ranks")
     prefix = F.substring("_rank", 1, PREFIX)
-    counts = ranked.groupBy(prefix.alias("p")).count().toArrow().to_pydict()
+    counts = ranks.groupBy(prefix.alias("p")).count().toArrow().to_pydict()
     taken = 0
     for p, rows in sorted(zip(counts["p"], counts["count"])):
         if taken + rows > n:
@@ -30,15 +36,13 @@ def keyed_sample(df, n, key, seed=42):
     else:
         return df
     if taken == n:
-        return ranked.where(prefix < p).drop("_rank")
-    cut = (
-        ranked.where(prefix == p).select("_rank", key).orderBy("_rank", key)
-        .limit(n - taken).agg(F.max(F.struct("_rank", key)).alias("cut")).first()["cut"]
-    )
-    inside = (F.col("_rank") < cut["_rank"]) | (
-        (F.col("_rank") == cut["_rank"]) & (F.col(key) <= cut[key])
-    )
-    return ranked.where(inside).drop("_rank")
+        return ranked.where(prefix < p).drop("_rank", "_row")
+    order = F.struct("_rank", "_row")
+    first = ranks.where(prefix == p).orderBy("_rank", "_row").limit(n - taken)
+    cut = first.groupBy("_rank", "_row").count().orderBy(F.desc("_rank"), F.desc("_row")).first()
+    at = F.struct(F.lit(cut["_rank"]).alias("_rank"), F.lit(cut["_row"]).alias("_row"))
+    last = ranked.where(order == at).limit(cut["count"])
+    return ranked.where(order < at).unionByName(last).drop("_rank", "_row")
 
 
 def first_rows(spark, paths, n):
@@ -53,18 +57,14 @@ def first_rows(spark, paths, n):
     counts = (
         df.groupBy(F.col("_metadata.file_path").alias("f")).count().orderBy("f").collect()
     )
-    whole, cut = [], None
-    left = n
+    file, left = F.col("_metadata.file_path"), n
+    wanted = F.lit(False)
+    whole = []
     for row in counts:
         if row["count"] > left:
-            cut = (row["f"], left)
+            wanted = (file == row["f"]) & (F.col("_metadata.row_index") < left)
             break
         whole.append(row["f"])
         left -= row["count"]
-    parts = []
-    if whole:
-        parts.append(spark.read.schema(df.schema).parquet(*whole))
-    if cut and cut[1] > 0:
-        last = spark.read.schema(df.schema).parquet(cut[0])
-        parts.append(last.where(F.col("_metadata.row_index") < cut[1]))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    # One scan; paths are compared as the scan itself spells them.
+    return df.where(file.isin(whole) | wanted if whole else wanted)

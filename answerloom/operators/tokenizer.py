@@ -87,13 +87,13 @@ class BpeModel:
 
 # ---- samples -------------------------------------------------------------------------------
 
-def train_sample(train, n, max_chars=12_000, style="standard", key="answer_id", seed=42):
-    """Template text of ``n`` rows of the train split, as stripped lines."""
-    rows = keyed_sample(train, n, key, seed)
+def train_sample(train, n=None, max_chars=None, style="standard", key="answer_id", seed=42):
+    """Template text of ``n`` rows of the train split (all if None), as stripped lines."""
+    rows = train if n is None else keyed_sample(train, n, key, seed)
     return rows.select(F.explode(sample_lines(pair_text(rows, max_chars, style))).alias("line"))
 
 
-def two_way_sample(pairs, n, val_fraction=0.01, max_chars=12_000, key="answer_id", seed=42):
+def two_way_sample(pairs, n=None, val_fraction=0.01, max_chars=None, key="answer_id", seed=42):
     """The low-memory variant: rows outside val, standard template only."""
     return train_sample(pairs.where(~is_val(F.col("question_id"), val_fraction)), n, max_chars,
                         "standard", key, seed)

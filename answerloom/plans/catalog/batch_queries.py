@@ -53,6 +53,6 @@ def epoch_batches(spark, d):
 def eval_batches(spark, d):
     """The first 20 batches of the unshuffled evaluation order, short pieces kept."""
     out = bt.plan_batches(
-        fx.file_rows(spark, d), 16, 4, shuffle_files=False, shuffle_rows=False, drop_last=False
+        fx.file_rows(spark, d), 16, 4, shuffle_files=False, shuffle_rows=False, drop_last=False, first=20
     )
-    return bt.first_batches(out, 20).select("file", "doc_id", "batch_id", "pos")
+    return out.select("file", "doc_id", "batch_id", "pos")

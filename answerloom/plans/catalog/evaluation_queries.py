@@ -80,7 +80,7 @@ SELECT category, b.num_prompts AS base_num_prompts, b.avg_auto_total_0_10 AS bas
 b.eos_end_rate AS base_eos_end_rate, b.template_noise_rate AS base_template_noise_rate,
 r.num_prompts AS rag_num_prompts, r.avg_auto_total_0_10 AS rag_avg_auto_total_0_10,
 r.eos_end_rate AS rag_eos_end_rate, r.template_noise_rate AS rag_template_noise_rate,
-round(r.avg_auto_total_0_10 - b.avg_auto_total_0_10, 4) AS delta_avg_auto
+round_even(r.avg_auto_total_0_10 - b.avg_auto_total_0_10, 4) AS delta_avg_auto
 FROM b FULL JOIN r USING (category)""")
 def arm_report(spark, d):
     return ev.arm_report(*_arms(spark, d))

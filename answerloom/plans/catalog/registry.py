@@ -71,15 +71,18 @@ def strip_sql(x):
     return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
 
-def pair_text_sql(max_chars=12_000, style="standard"):
+def pair_text_sql(max_chars=None, style="standard"):
     """Template text of one pair; chr(10) joins the lines, NULL lines vanish."""
     def cut(column, n):
-        return f"substr({strip_sql(f'coalesce({column}, chr(32))')}, 1, {n})"
+        whole = strip_sql(f"coalesce({column}, chr(32))")
+        return whole if n is None else f"substr({whole}, 1, {n})"
 
     def line(label, column, n):
         return f"'{label}' || nullif({cut(column, n)}, '')"
 
-    title, body, tags = ("title", max_chars // 4), ("question_body", max_chars // 2), ("tags", max_chars // 8)
+    title, body, tags = (
+        (c, None if max_chars is None else max_chars // n) for c, n in (("title", 4), ("question_body", 2), ("tags", 8))
+    )
     if style == "standard":
         parts = [
             "'<bos> Question:'", line("", *title), line("", *body), line("Tags: ", *tags),
@@ -169,7 +172,7 @@ def figures_sql(source, *keys):
     head = "".join(f"{k}, " for k in keys)
     tail = f" GROUP BY {', '.join(keys)}" if keys else ""
     return f"""SELECT {head}count(*) AS num_prompts,
-      round(coalesce(sum(auto_total_0_10), 0) / greatest(count(*), 1), 4) AS avg_auto_total_0_10,
-      round(coalesce(sum(CAST(ended_with_eos AS INTEGER)), 0) / greatest(count(*), 1), 4) AS eos_end_rate,
-      round(coalesce(sum(CAST(template_noise_flag AS INTEGER)), 0) / greatest(count(*), 1), 4) AS template_noise_rate
+      round_even(coalesce(sum(auto_total_0_10), 0) / greatest(count(*), 1), 4) AS avg_auto_total_0_10,
+      round_even(coalesce(sum(CAST(ended_with_eos AS INTEGER)), 0) / greatest(count(*), 1), 4) AS eos_end_rate,
+      round_even(coalesce(sum(CAST(template_noise_flag AS INTEGER)), 0) / greatest(count(*), 1), 4) AS template_noise_rate
       FROM {source}{tail}"""

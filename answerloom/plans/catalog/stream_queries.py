@@ -31,7 +31,7 @@ def _broken(pairs):
 
 
 def _model(spark, d):
-    return learn_bpe(pretoken_counts(two_way_sample(_pairs(spark, d), 50_000)), 320)
+    return learn_bpe(pretoken_counts(two_way_sample(_pairs(spark, d))), 320)
 
 
 _VAL = "coalesce((question_id * 2654435761) % 10000 < 1000, false)"

@@ -185,7 +185,7 @@ FROM curated JOIN listed ON k = answer_id""")
 def tokenize_split(spark, d):
     """Curate, split, learn on the train split, encode, cut and pad every split."""
     rows = cut_lineage(_curated(spark, d), "curated")
-    lines = tk.train_sample(rows.where("split = 'train'"), 200_000)
+    lines = tk.train_sample(rows.where("split = 'train'"))
     model = tk.learn_bpe(tk.pretoken_counts(lines), VOCAB_SIZE)
     return en.tokenize_pairs(rows, model, 256).select(
         "question_id", "answer_id", "split", _joined("input_ids").alias("input_ids"),

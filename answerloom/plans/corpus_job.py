@@ -1,6 +1,8 @@
 """The whole preparation as one configurable Spark job with saved stages."""
 
+import json
 from dataclasses import asdict, dataclass, replace
+from hashlib import sha256
 
 from pyspark.sql import functions as F
 
@@ -11,10 +13,10 @@ from answerloom.operators.pairs import pair_posts
 from answerloom.operators.tokenizer import (
     BpeModel, learn_bpe, pretoken_counts, train_sample, two_way_sample,
 )
-from answerloom.session import path_exists
+from answerloom.schemas import posts_schema, require_columns
 from answerloom.sources.checks import require_valid
 from answerloom.sources.sinks import manifest, write_manifest, write_tokens
-from answerloom.sources.tables import read_tokens, saved_stage
+from answerloom.sources.tables import must_build, note_stage, read_tokens, saved_stage
 
 
 @dataclass(frozen=True)
@@ -32,7 +34,7 @@ class CorpusConfig:
     drop_short_thanks: bool = False
     best_answer_only: bool = False
     prompt_style: str = "standard"
-    max_text_chars: int = 12_000
+    max_text_chars: int | None = None  # cut longer texts; cut rows are flagged and counted
     max_seq_len: int = 1_024
     vocab_size: int = 16_000
     alphabet: str = "observed"
@@ -85,39 +87,67 @@ def train_tokenizer(rows, config):
     return learn_bpe(pretoken_counts(lines), config.vocab_size, config.alphabet)
 
 
+#: The knobs each stage depends on, besides those of the stages before it.
+STAGE_KNOBS = {
+    "pairs": ("min_question_chars", "min_pair_answer_chars"),
+    "split": ("policy", "val_fraction", "test_fraction", "min_answer_score", "min_answer_chars",
+              "min_answer_words", "drop_short_thanks", "best_answer_only"),
+    "tokenizer": ("prompt_style", "max_text_chars", "vocab_size", "alphabet", "tokenizer_sample_rows", "seed"),
+    "tokens": ("max_seq_len", "rows_per_file"),
+}
+
+
+def fingerprints(posts, config):
+    """A hash per stage over its knobs, the stages before it, the input files and the plan over them."""
+    if posts is None:
+        return dict.fromkeys(STAGE_KNOBS)
+    upstream = [sorted(posts.inputFiles()), posts._jdf.queryExecution().analyzed().canonicalized().toString()]
+    knobs, out = asdict(config), {}
+    for stage, names in STAGE_KNOBS.items():
+        upstream = sha256(json.dumps([upstream, {k: knobs[k] for k in names}], sort_keys=True).encode()).hexdigest()
+        out[stage] = upstream
+    return out
+
+
 def run_job(spark, posts, out, config=_BASE, reuse=True, skip=()):
     """Posts to token chunks below ``out``; returns the folders of every stage.
 
     Stages: ``pairs``, ``split``, ``tokenizer``, ``tokens``. A finished stage is
-    reused (``reuse``); one named in ``skip`` must exist already. The curated
-    rows are scanned once for all splits.
+    reused (``reuse``) if it was made with the same knobs from the same input
+    (files and plan), else made anew; one named in ``skip`` must exist already, made that way.
+    Without ``posts`` the input is not known, and finished stages are taken as they
+    are. The curated rows are scanned once for all splits.
     """
     at = {name: f"{out}/{name}" for name in ("pairs", "split", "tokenizer", "tokens", "manifest")}
+    made = fingerprints(posts, config)
+    if posts is not None and "pairs" not in skip:
+        tags = [posts.schema["Tags"].dataType] if "Tags" in posts.columns else []
+        require_columns(posts, posts_schema(*tags), "posts")
     pairs = saved_stage(
         spark, at["pairs"],
         lambda: pair_posts(
             posts, config.min_question_chars, config.min_pair_answer_chars, config.hot_share
         ),
-        reuse, "pairs" in skip,
+        reuse, "pairs" in skip, made["pairs"],
     )
     rows = saved_stage(
-        spark, at["split"], lambda: split_rows(pairs, config), reuse, "split" in skip
+        spark, at["split"], lambda: split_rows(pairs, config), reuse, "split" in skip, made["split"]
     )
-    have_model = path_exists(spark, f"{at['tokenizer']}/merges/_SUCCESS")
-    if "tokenizer" in skip and not have_model:
-        raise FileNotFoundError(f"stage output is missing: {at['tokenizer']}")
-    if have_model and (reuse or "tokenizer" in skip):
-        model = BpeModel.load(spark, at["tokenizer"])
-    else:
+    if must_build(spark, at["tokenizer"], reuse, "tokenizer" in skip, made["tokenizer"], "merges/_SUCCESS"):
         model = train_tokenizer(rows, config)
         model.save(spark, at["tokenizer"])
+        note_stage(spark, at["tokenizer"], made["tokenizer"])
+    else:
+        model = BpeModel.load(spark, at["tokenizer"])
     if "tokens" in skip:
+        must_build(spark, at["tokens"], reuse, True, made["tokens"])
         return at
-    if not (reuse and path_exists(spark, f"{at['tokens']}/_SUCCESS")):
+    if must_build(spark, at["tokens"], reuse, False, made["tokens"]):
         tokens = tokenize_pairs(
             rows, model, config.max_seq_len, config.max_text_chars, config.prompt_style
         )
-        write_tokens(tokens, at["tokens"], config.rows_per_file)
+        write_tokens(tokens, at["tokens"], config.rows_per_file, rebalance=True)
+        note_stage(spark, at["tokens"], made["tokens"])
     written = read_tokens(spark, at["tokens"])
     write_manifest(manifest(written, manifest_settings(config, at["tokens"]), splits(config)), at["manifest"])
     require_valid(written, spark.read.json(at["manifest"]), model.size, config.max_seq_len)

@@ -34,6 +34,9 @@ TOKEN_ROWS = T.StructType([
     T.StructField("answer_id", LONG, True),
     T.StructField("input_ids", T.ArrayType(INT, False), False),
     T.StructField("split", STRING, True),
+    T.StructField("n_tokens", INT, True),
+    T.StructField("truncated", BOOL, True),
+    T.StructField("text_cut", BOOL, True),
 ])
 
 VOCAB = _struct(("token", STRING), ("id", INT))

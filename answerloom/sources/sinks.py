@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from answerloom import schemas
+
 ROWS_PER_FILE = 65_536
 
 
@@ -15,25 +17,35 @@ def write_tokens(rows, path, rows_per_file=ROWS_PER_FILE, rebalance=False):
     if rebalance:
         rows = rows.hint("rebalance", "split")
     (
-        rows.select("question_id", "answer_id", "input_ids", "split")
+        rows.select(*[f.name for f in schemas.TOKEN_ROWS if f.name in rows.columns])
         .write.mode("overwrite").option("compression", "zstd")
         .option("maxRecordsPerFile", rows_per_file).partitionBy("split").parquet(path)
     )
 
 
 def manifest(tokens, settings, splits=("train", "val", "test")):
-    """One row: row count per split plus the job's settings as nested structs."""
-    counts = [
-        F.coalesce(F.sum((F.col("split") == s).cast("long")), F.lit(0)).alias(s) for s in splits
-    ]
+    """One row: row and cut-row counts per split plus the job's settings as nested structs.
+
+    ``truncated`` counts rows with more ids than fit, ``text_cut`` rows with
+    characters beyond the text limit.
+    """
+    def counts(flag):
+        return [
+            F.coalesce(F.sum(((F.col("split") == s) & flag).cast("long")), F.lit(0)).alias(s) for s in splits
+        ]
+
+    cut = [c for c in ("truncated", "text_cut") if c in tokens.columns]
 
     def column(value):
         if isinstance(value, dict):
             return F.struct(*[column(v).alias(k) for k, v in value.items()])
         return F.lit(value)
 
-    return tokens.agg(F.struct(*counts).alias("stats")).select(
-        "stats", *[column(v).alias(k) for k, v in settings.items()]
+    return tokens.agg(
+        F.struct(*counts(F.lit(True))).alias("stats"),
+        *[F.struct(*counts(F.coalesce(F.col(c), F.lit(False)))).alias(c) for c in cut],
+    ).select(
+        "stats", *cut, *[column(v).alias(k) for k, v in settings.items()]
     )
 
 

@@ -6,19 +6,19 @@ from answerloom import schemas
 from answerloom.operators.sampling import first_rows
 from answerloom.session import list_files, path_exists
 
-MAX_SHARDS = 59  # fixed value: shards of the full posts dump
+MAX_SHARDS = 59  # fixed value: shards of the full posts dump; a default, not a limit of the library
 
 
-def shard_set(paths, n=None):
+def shard_set(paths, n=None, limit=MAX_SHARDS):
     """The first ``n`` shard paths in sorted order; None keeps all."""
-    if n is not None and not 1 <= n <= MAX_SHARDS:
-        raise ValueError(f"the number of shards must be between 1 and {MAX_SHARDS}")
+    if n is not None and not 1 <= n <= limit:
+        raise ValueError(f"the number of shards must be between 1 and {limit}")
     return sorted(paths)[:n]
 
 
-def read_posts(spark, folder, n=None, tags=None):
+def read_posts(spark, folder, n=None, tags=None, limit=MAX_SHARDS):
     """Posts of the first ``n`` shards of a folder, with the declared schema."""
-    paths = shard_set(list_files(spark, folder), n)
+    paths = shard_set(list_files(spark, folder), n, limit)
     if not paths:
         raise FileNotFoundError(f"no shards in {folder}")
     schema = schemas.posts_schema(tags) if tags is not None else schemas.posts_schema()
@@ -47,25 +47,52 @@ def save_subset(spark, paths, n, out):
 
 
 def merge_parts(spark, parts, out=None, files=None):
-    """All parts as one table, optionally written as ``files`` files."""
+    """All parts as one table, optionally written as ``files`` even files by all tasks."""
     merged = spark.read.parquet(*parts)
     if out is None:
         return merged
-    (merged.coalesce(files) if files else merged).write.mode("overwrite").parquet(out)
+    (merged.repartition(files) if files else merged).write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)
 
 
-def saved_stage(spark, path, build, reuse=True, required=False):
+def stage_state(spark, path, fingerprint=None, marker="_SUCCESS"):
+    """``done``, ``missing`` or ``changed``: whether a finished stage has this fingerprint."""
+    if not path_exists(spark, f"{path}/{marker}"):
+        return "missing"
+    if fingerprint is None:
+        return "done"
+    note = f"{path}.fingerprint"
+    same = path_exists(spark, f"{note}/_SUCCESS") and spark.read.text(note).first() == (fingerprint,)
+    return "done" if same else "changed"
+
+
+def note_stage(spark, path, fingerprint):
+    """Record what a finished stage was made from, beside its folder."""
+    if fingerprint is not None:
+        spark.createDataFrame([(fingerprint,)], "value string").coalesce(1).write.mode("overwrite").text(
+            f"{path}.fingerprint")
+
+
+def must_build(spark, path, reuse, required, fingerprint=None, marker="_SUCCESS"):
+    """Whether a stage has to be made; a required one that is missing or made otherwise is an error."""
+    state = stage_state(spark, path, fingerprint, marker)
+    if required and state == "missing":
+        raise FileNotFoundError(f"stage output is missing: {path}")
+    if required and state == "changed":
+        raise ValueError(f"stage output was made with other settings or inputs: {path}")
+    return not (state == "done" and (reuse or required))
+
+
+def saved_stage(spark, path, build, reuse=True, required=False, fingerprint=None):
     """Read a finished stage, or build and save it.
 
-    A stage counts as finished when its success marker exists. ``required``
-    forbids building: a skipped stage must be there already.
+    A stage counts as finished when its success marker exists and, if a
+    ``fingerprint`` of its settings and inputs is given, when it was saved with
+    the same one. ``required`` forbids building: a skipped stage must be there already.
     """
-    done = path_exists(spark, f"{path}/_SUCCESS")
-    if required and not done:
-        raise FileNotFoundError(f"stage output is missing: {path}")
-    if not (done and (reuse or required)):
+    if must_build(spark, path, reuse, required, fingerprint):
         build().write.mode("overwrite").option("compression", "zstd").parquet(path)
+        note_stage(spark, path, fingerprint)
     return spark.read.parquet(path)
 
 

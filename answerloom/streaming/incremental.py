@@ -1,6 +1,7 @@
 """Incremental jobs with Structured Streaming: new files in, token chunks out."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from answerloom import schemas
 from answerloom.functions.splits import two_way
@@ -37,14 +38,14 @@ def _count(status):
     return F.coalesce(F.sum((F.col("status") == status).cast("long")), F.lit(0)).alias(status)
 
 
-def tokenized(pairs, model, max_seq_len=1024, max_chars=12_000, val_fraction=0.01):
+def tokenized(pairs, model, max_seq_len=1024, max_chars=None, val_fraction=0.01):
     """Two-way split and token rows; the same function serves batch and stream."""
     counted = route(pairs, val_fraction).observe(
         "rows", *[_count(s) for s in ("train", "val", "skipped")]
     )
     kept = counted.where("status <> 'skipped'").withColumnRenamed("status", "split")
     return tokenize_pairs(kept, model, max_seq_len, max_chars).select(
-        "question_id", "answer_id", "input_ids", "split"
+        "question_id", "answer_id", "input_ids", "split", "n_tokens", "truncated", "text_cut"
     )
 
 
@@ -58,7 +59,7 @@ def _start(df, out, checkpoint, partition=None, rows_per_file=65_536):
     return (writer.partitionBy(partition) if partition else writer).start()
 
 
-def tokenize_stream(pairs, model, out, checkpoint, max_seq_len=1024, max_chars=12_000,
+def tokenize_stream(pairs, model, out, checkpoint, max_seq_len=1024, max_chars=None,
                     val_fraction=0.01):
     """Tokenize what is new since the last run into one folder per split."""
     rows = tokenized(pairs, model, max_seq_len, max_chars, val_fraction)
@@ -84,12 +85,47 @@ def pair_answer_stream(spark, questions, folder, out, checkpoint, schema, files_
     return _start(join_pairs(questions, extract_answers(posts, min_answer_chars)), out, checkpoint)
 
 
-def observed_totals(query):
-    """Counters of all micro-batches the finished query reports."""
-    totals = {"train": 0, "val": 0, "skipped": 0}
-    for progress in query.recentProgress:
+class _AllCounts(StreamingQueryListener):
+    """Counters of all micro-batches of all queries, as they are reported.
+
+    Progress reports that a query keeps are limited in number; a listener gets
+    every one. Each batch counts once, also if its report comes again.
+    """
+
+    def __init__(self):
+        self.batches = {}
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        progress = event.progress
         seen = progress.observedMetrics.get("rows")
         if seen is not None:
-            for name in totals:
-                totals[name] += seen[name]
-    return totals
+            self.batches[str(progress.id), progress.batchId] = seen.asDict()
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+    def totals(self, query_id):
+        own = [counts for (q, _), counts in self.batches.items() if q == str(query_id)]
+        return {n: sum(counts[n] for counts in own) for n in ("train", "val", "skipped")}
+
+
+def observed_totals(spark, start):
+    """Run the stream that ``start()`` starts to its end; the counters of all its micro-batches.
+
+    The listener is there before the stream is, so no report is missed.
+    """
+    seen = _AllCounts()
+    spark.streams.addListener(seen)
+    try:
+        query = start()
+        query.awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    finally:
+        spark.streams.removeListener(seen)
+    return seen.totals(query.id)

@@ -28,11 +28,9 @@ def test_stream_equals_batch_and_takes_only_new_files(spark, pairs, model, tmp_p
     pairs.where("question_id % 2 = 0").repartition(2).write.parquet(src)
 
     def run():
-        q = inc.tokenize_stream(
+        return inc.observed_totals(spark, lambda: inc.tokenize_stream(
             inc.pair_stream(spark, src, 1, pairs.schema), model, out, state, 64, val_fraction=0.2
-        )
-        q.awaitTermination()
-        return inc.observed_totals(q)
+        ))
 
     first = run()
     assert first["train"] + first["val"] == pairs.where("question_id % 2 = 0").count()
@@ -55,3 +53,16 @@ def test_broken_rows_are_skipped_and_counted(spark, pairs, model):
     assert bad > 0 and counts.skipped == bad
     assert counts.train + counts.val + counts.skipped == pairs.count()
     assert inc.tokenized(broken, model, 32).count() == pairs.count() - bad
+
+
+def test_totals_are_whole_beyond_the_kept_reports(spark, pairs, model, tmp_path):
+    src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    pairs.repartition(6).write.parquet(src)
+    kept = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        totals = inc.observed_totals(spark, lambda: inc.tokenize_stream(
+            inc.pair_stream(spark, src, 1, pairs.schema), model, out, state, 64))
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", kept)
+    assert sum(totals.values()) == pairs.count()
