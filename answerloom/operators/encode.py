@@ -108,7 +108,7 @@ def _encode_batch(rows, known):
 
 
 def encoder(spark, model):
-    """A column function: text to ids. The word split runs in the JVM.
+    """A column function: text to ids, NULL to NULL. The word split runs in the JVM.
 
     Only the word arrays cross to Python, one Arrow batch at a time; there is no
     shuffle. The model is broadcast; its size is bounded by the vocabulary.
@@ -122,7 +122,7 @@ def encoder(spark, model):
         for rows in batches:
             yield _encode_batch(rows, known)
 
-    return lambda text: encode_words(segments(text))
+    return lambda text: F.when(text.isNotNull(), encode_words(segments(text)))
 
 
 def id_rows(df, ids, max_len, pad=0):
@@ -148,12 +148,16 @@ def tokenize_pairs(pairs, model, max_seq_len=1024, max_chars=None, style="standa
 
 
 def decode(ids, model, skip_specials=True):
-    """Ids to text without a join: the vocabulary is one constant array of hex strings."""
+    """Ids to text without a join: the vocabulary is one constant array of hex strings.
+
+    NULL gives NULL; an id outside the vocabulary is an error.
+    """
     hexes = []
     for token in model.tokens:
         special = token in SPECIALS
         raw = b"" if special and skip_specials else token.encode() if special else token_bytes(token)
         hexes.append(raw.hex())
     table = F.split(F.lit(" ".join(hexes)), " ")
-    text = F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")
+    outside = F.raise_error(F.lit("an id is outside the vocabulary")).cast("string")
+    text = F.array_join(F.transform(ids, lambda i: F.coalesce(F.get(table, i), outside)), "")
     return F.make_valid_utf8(F.unhex(text).cast("string"))

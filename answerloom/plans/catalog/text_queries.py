@@ -94,13 +94,13 @@ def pad_and_context(spark, d):
     )
 
 
-@query(f"""WITH {_LENS}, rows AS (SELECT conv_id, turn, list_concat(ids[1:48],
-  list_transform(range(greatest(48 - len(ids), 0)), lambda i: 0)) AS ids FROM lens)
-SELECT conv_id, turn, array_to_string(ids[2:48], ' ') AS labels,
-array_to_string(list_transform(ids[2:48], lambda x: CAST(x <> 0 AS INTEGER)), ' ') AS mask,
-CAST(len(list_filter(ids[2:48], lambda x: x <> 0)) AS INTEGER) AS tokens FROM rows""")
+@query(f"""WITH {_LENS}, rows AS (SELECT conv_id, turn, list_concat(ids, [0, 0, 0]) AS ids FROM lens)
+SELECT conv_id, turn, array_to_string(ids[2:], ' ') AS labels,
+array_to_string(list_transform(ids[2:], lambda x: CAST(x <> 0 AS INTEGER)), ' ') AS mask,
+CAST(len(list_filter(ids[2:], lambda x: x <> 0)) AS INTEGER) AS tokens FROM rows""")
 def labels_and_mask(spark, d):
-    rows = _lens(spark, d).withColumn("ids", idf.pad_right(F.col("ids"), 48))
+    """Whole arrays with three pads behind them."""
+    rows = _lens(spark, d).withColumn("ids", F.concat("ids", F.array_repeat(F.lit(0), 3)))
     labels = idf.next_token_labels(F.col("ids"))
     return rows.select(
         "conv_id", "turn", _joined(labels).alias("labels"),
@@ -109,13 +109,12 @@ def labels_and_mask(spark, d):
     )
 
 
-@query(f"""WITH {_LENS}, rows AS (SELECT conv_id % 3 AS part, list_concat(ids[1:48],
-  list_transform(range(greatest(48 - len(ids), 0)), lambda i: 0)) AS ids FROM lens)
-SELECT part, count(*) AS rows, CAST(sum(len(list_filter(ids[2:48], lambda x: x <> 0))) AS BIGINT) AS tokens
+@query(f"""WITH {_LENS}, rows AS (SELECT conv_id % 3 AS part, list_concat(ids, [0, 0, 0]) AS ids FROM lens)
+SELECT part, count(*) AS rows, CAST(sum(len(list_filter(ids[2:], lambda x: x <> 0))) AS BIGINT) AS tokens
 FROM rows GROUP BY part""")
 def effective_tokens(spark, d):
     rows = _lens(spark, d).select(
-        (F.col("conv_id") % 3).alias("part"), idf.pad_right(F.col("ids"), 48).alias("input_ids")
+        (F.col("conv_id") % 3).alias("part"), F.concat("ids", F.array_repeat(F.lit(0), 3)).alias("input_ids")
     )
     return token_totals(rows, "part")
 

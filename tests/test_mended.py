@@ -95,6 +95,34 @@ def test_changed_knobs_and_inputs_rebuild_stages(spark, tmp_path):
     assert spark.read.parquet(at["pairs"]).where("question_id % 2 = 1").count() == 0
 
 
+def test_evaluation_counts_real_token_ids(spark, tmp_path):
+    from answerloom.operators import tokenizer as tk
+    from answerloom.plans.evaluation_job import evaluate
+    from answerloom.sources import reports
+
+    lines = spark.createDataFrame([("the answer is the answer and the end",)] * 5, "line string")
+    model = tk.learn_bpe(tk.pretoken_counts(lines), 60)
+    rows = [("a", "the answer", "the end<eos>"), ("b", "and", "the end"), ("b", "is", "")]
+    out = str(tmp_path / "report")
+    evaluate(spark.createDataFrame(rows, "category string, prompt string, output string"), model, out, {"grounded_format": True})
+    meta, records = reports.read_report(spark, out)
+    got = {r.prompt: (r.generated_tokens, r.ended_with_eos) for r in records.collect()}
+    assert got["the answer"][0] == got["and"][0] + 1 and got["is"] == (0, False)
+    assert [got[p][1] for p in ("the answer", "and")] == [True, False]
+    assert meta.first().eos_end_rate == round(1 / 3, 4)
+
+
+def test_unknown_ids_and_null_texts(spark):
+    from answerloom.operators import encode as en, tokenizer as tk
+
+    model = tk.learn_bpe(tk.pretoken_counts(spark.createDataFrame([("ab ab",)], "line string")), 20)
+    encode = en.encoder(spark, model)
+    got = spark.createDataFrame([("ab",), (None,)], "t string").select(encode(F.col("t")).alias("ids")).collect()
+    assert got[0].ids and got[1].ids is None
+    with pytest.raises(Exception, match="outside the vocabulary"):
+        spark.range(1).select(en.decode(F.array(F.lit(9_999)), model)).collect()
+
+
 def test_texts_are_whole_unless_a_limit_is_given(spark):
     df = spark.createDataFrame([Row(title="t" * 9, question_body="b", tags="", answer_body="a" * 20_000)])
     assert len(df.select(pair_text(df)).first()[0]) > 20_000
