@@ -43,6 +43,18 @@ def _line(text, label=""):
     return F.when(text != "", F.concat(F.lit(label), text))
 
 
+TEXTS = ("title", "question_body", "tags", "answer_body")
+
+
+def broken_text(pairs):
+    """Whether a text column of a pair is not valid UTF-8; such rows are skipped and counted by every job."""
+    broken = F.lit(False)
+    for name in TEXTS:
+        if pairs.schema[name].dataType.simpleString() == "string":
+            broken = broken | ~F.coalesce(F.is_valid_utf8(F.col(name)), F.lit(True))
+    return broken
+
+
 def _parts(df, max_chars):
     """Title, body, tags and answer as texts, with the share of ``max_chars`` each may use."""
     shares = {"title": 4, "question_body": 2, "tags": 8, "answer_body": 1}

@@ -11,6 +11,7 @@ from answerloom.plans import fixtures as fx
 from answerloom.plans.catalog.pair_queries import PAIR_COLUMNS, _pairs
 from answerloom.plans.catalog.registry import CURATED, PAIRS, query
 from answerloom.plans.corpus_job import PRESETS, run_job
+from answerloom.plans.catalog.tokenizer_queries import token_rows_sql
 from answerloom.session import work_dir
 from answerloom.streaming import incremental as inc
 
@@ -37,18 +38,25 @@ def _model(spark, d):
 _VAL = "coalesce((question_id * 2654435761) % 10000 < 1000, false)"
 
 
-@query(f"""WITH {PAIRS} SELECT question_id, answer_id, CASE WHEN {_VAL} THEN 'val' ELSE 'train' END AS split,
-CAST(256 AS INTEGER) AS n_ids FROM pairs WHERE question_id % 7 <> 0""")
+def _token_columns(rows):
+    ids = F.array_join(F.col("input_ids").cast("array<string>"), " ")
+    return rows.select("question_id", "answer_id", "split", ids.alias("input_ids"), "n_tokens", "truncated")
+
+
+_ALL = f"{PAIRS}, placed AS (SELECT *, CASE WHEN {_VAL} THEN 'val' ELSE 'train' END AS split FROM pairs)"
+
+
+@query("SELECT * FROM (" + token_rows_sql(
+    _ALL, "placed", "NOT coalesce((question_id * 2654435761) % 10000 < 100, false)", 256) + ") WHERE question_id % 7 <> 0")
 def stream_tokenize(spark, d):
-    """Micro-batch tokenization into one folder per split; broken rows are skipped."""
+    """Micro-batch tokenization into one folder per split, all ids; broken rows are skipped."""
     folder, schema = _pair_files(spark, d)
     out = work_dir(spark, "stream_tokens")
     stream = _broken(inc.pair_stream(spark, folder, 1, schema))
     inc.tokenize_stream(
         stream, _model(spark, d), out, work_dir(spark, "stream_state"), 256, val_fraction=0.1
     ).awaitTermination()
-    rows = spark.read.parquet(out)
-    return rows.select("question_id", "answer_id", "split", F.size("input_ids").alias("n_ids"))
+    return _token_columns(spark.read.parquet(out))
 
 
 @query(f"""WITH {PAIRS}, s AS (SELECT CASE WHEN question_id % 7 = 0 THEN 'skipped' WHEN {_VAL} THEN 'val'
@@ -86,9 +94,9 @@ def stream_pairs(spark, d):
     return spark.read.parquet(out)
 
 
-@query(f"""WITH {CURATED} SELECT split, count(*) AS rows FROM curated GROUP BY split""")
+@query(token_rows_sql(CURATED, "curated", "split = 'train'", 128))
 def corpus_job(spark, d):
-    """The whole job with the first run's thresholds: posts to validated token chunks."""
+    """The whole job with the first run's thresholds: posts to validated token chunks, all ids."""
     config = replace(PRESETS["run_a"], vocab_size=320, max_seq_len=128, rows_per_file=500)
     done = run_job(spark, fx.posts(spark, d), work_dir(spark, "job"), config)
-    return spark.read.parquet(done["tokens"]).groupBy("split").agg(F.count("*").alias("rows"))
+    return _token_columns(spark.read.parquet(done["tokens"]))

@@ -175,13 +175,18 @@ def decode_ids(spark, d):
     return _conv(spark, d).select("k", en.decode(encode(F.col("text")), model).alias("text"))
 
 
-@query(f"""WITH RECURSIVE {CURATED}, sample AS (SELECT {pair_text_sql()} AS text FROM curated WHERE split = 'train'),
-  {LINES}, texts AS (SELECT answer_id AS k, {pair_text_sql()} AS text FROM curated), {bpe_sql()},
+def token_rows_sql(rows, table, train, length):
+    """Token rows of ``table`` (after the CTEs ``rows``), with merges learned on its rows that meet ``train``."""
+    return f"""WITH RECURSIVE {rows}, sample AS (SELECT {pair_text_sql()} AS text FROM {table} WHERE {train}),
+  {LINES}, texts AS (SELECT answer_id AS k, {pair_text_sql()} AS text FROM {table}), {bpe_sql()},
   listed AS (SELECT k, string_split(ids, ' ') AS ids FROM encoded)
 SELECT question_id, answer_id, split,
-  array_to_string(list_concat(ids[1:256], list_transform(range(greatest(256 - len(ids), 0)), lambda i: '0')), ' ') AS input_ids,
-  CAST(least(len(ids), 256) AS INTEGER) AS n_tokens, len(ids) > 256 AS truncated
-FROM curated JOIN listed ON k = answer_id""")
+  array_to_string(list_concat(ids[1:{length}], list_transform(range(greatest({length} - len(ids), 0)), lambda i: '0')), ' ') AS input_ids,
+  CAST(least(len(ids), {length}) AS INTEGER) AS n_tokens, len(ids) > {length} AS truncated
+FROM {table} JOIN listed ON k = answer_id"""
+
+
+@query(token_rows_sql(CURATED, "curated", "split = 'train'", 256))
 def tokenize_split(spark, d):
     """Curate, split, learn on the train split, encode, cut and pad every split."""
     rows = cut_lineage(_curated(spark, d), "curated")

@@ -7,6 +7,7 @@ from hashlib import sha256
 from pyspark.sql import functions as F
 
 from answerloom.functions.splits import two_way
+from answerloom.functions.templates import broken_text
 from answerloom.operators.curate import curate, split_pairs
 from answerloom.operators.encode import tokenize_pairs
 from answerloom.operators.pairs import pair_posts
@@ -130,9 +131,11 @@ def run_job(spark, posts, out, config=_BASE, reuse=True, skip=()):
         ),
         reuse, "pairs" in skip, made["pairs"],
     )
-    rows = saved_stage(
-        spark, at["split"], lambda: split_rows(pairs, config), reuse, "split" in skip, made["split"]
+    split = saved_stage(
+        spark, at["split"], lambda: split_rows(pairs, config).withColumn("skipped", broken_text(pairs)),
+        reuse, "split" in skip, made["split"],
     )
+    rows = split.where("NOT skipped")
     if must_build(spark, at["tokenizer"], reuse, "tokenizer" in skip, made["tokenizer"], "merges/_SUCCESS"):
         model = train_tokenizer(rows, config)
         model.save(spark, at["tokenizer"])
@@ -149,7 +152,10 @@ def run_job(spark, posts, out, config=_BASE, reuse=True, skip=()):
         write_tokens(tokens, at["tokens"], config.rows_per_file, rebalance=True)
         note_stage(spark, at["tokens"], made["tokens"])
     written = read_tokens(spark, at["tokens"])
-    write_manifest(manifest(written, manifest_settings(config, at["tokens"]), splits(config)), at["manifest"])
+    lost = split.where("skipped").groupBy("split").count().collect()  # at most one number per split
+    settings = manifest_settings(config, at["tokens"]) | {
+        "skipped": {s: 0 for s in splits(config)} | {r["split"]: r["count"] for r in lost if r["split"]}}
+    write_manifest(manifest(written, settings, splits(config)), at["manifest"])
     require_valid(written, spark.read.json(at["manifest"]), model.size, config.max_seq_len)
     return at
 

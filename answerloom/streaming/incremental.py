@@ -5,12 +5,10 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 from answerloom import schemas
 from answerloom.functions.splits import two_way
+from answerloom.functions.templates import broken_text
 from answerloom.operators.encode import tokenize_pairs
 from answerloom.operators.pairs import extract_answers, join_pairs
 
-TEXTS = ("title", "question_body", "tags", "answer_body")
-
-
 def pair_stream(spark, folder, files_per_trigger=16, schema=None):
     """New pair files of a folder as a stream of bounded micro-batches."""
     return (
@@ -21,12 +19,8 @@ def pair_stream(spark, folder, files_per_trigger=16, schema=None):
 
 def route(pairs, val_fraction=0.01):
     """Add ``status``: the split of the row, or 'skipped' when a text is not valid UTF-8."""
-    broken = F.lit(False)
-    for name in TEXTS:
-        if pairs.schema[name].dataType.simpleString() == "string":
-            broken = broken | ~F.coalesce(F.is_valid_utf8(F.col(name)), F.lit(True))
     split = two_way(F.col("question_id"), val_fraction)
-    return pairs.withColumn("status", F.when(broken, "skipped").otherwise(split))
+    return pairs.withColumn("status", F.when(broken_text(pairs), "skipped").otherwise(split))
 
 
 def status_counts(routed):

@@ -95,6 +95,18 @@ def test_changed_knobs_and_inputs_rebuild_stages(spark, tmp_path):
     assert spark.read.parquet(at["pairs"]).where("question_id % 2 = 1").count() == 0
 
 
+def test_batch_job_skips_and_counts_broken_rows(spark, tmp_path):
+    posts = fx.posts(spark, SF)
+    bad = F.concat(F.encode("Body", "UTF-8"), F.unhex(F.lit("FF"))).cast("string")
+    posts = posts.withColumn("Body", F.when((F.col("PostTypeId") == 2) & (F.col("ParentId") % 3 == 0), bad).otherwise(F.col("Body")))
+    config = replace(PRESETS["fast"], vocab_size=200, max_seq_len=32, rows_per_file=50)
+    at = run_job(spark, posts, str(tmp_path / "job"), config)
+    record = spark.read.json(at["manifest"]).first()
+    want = spark.read.parquet(at["split"]).where("question_id % 3 = 0").count()
+    assert sum(record.skipped.asDict().values()) == want > 0
+    assert spark.read.parquet(at["tokens"]).where("question_id % 3 = 0").count() == 0
+
+
 def test_evaluation_counts_real_token_ids(spark, tmp_path):
     from answerloom.operators import tokenizer as tk
     from answerloom.plans.evaluation_job import evaluate
