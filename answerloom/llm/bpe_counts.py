@@ -84,9 +84,6 @@ class _Counts(Memo):
         self.counts = Pool(np.int64)
 
 
-_MEMOS = {}
-
-
 def _chunk_starts(data, offsets):
     """Chunks begin with a row, and with a blank after anything but a blank or a mark.
 
@@ -106,10 +103,10 @@ def _chunk_starts(data, offsets):
 def _count(key, ranks, batches):
     import pyarrow as pa
 
-    from answerloom.llm.textscan import chunk_hashes, mix, pieces, text_bytes
+    from answerloom.llm.textscan import chunk_hashes, kept, mix, pieces, text_bytes
 
     ranks = ranks.value
-    memo = _MEMOS.setdefault(key, _Counts())
+    memo = kept(("counts", key), _Counts)
     for batch in batches:
         for part in pieces(batch):
             data, offsets = text_bytes(part.column(1))
@@ -142,7 +139,7 @@ def token_counts(docs, model_path, id_col="doc_id", text_col="text", limit=4096)
     are ignored.
 
     A narrow pass without a shuffle. Texts fall into chunks at blanks; each
-    worker merges a distinct chunk once and remembers its count (up to a million chunks).
+    worker merges a distinct chunk once and remembers its count (up to half a million chunks).
     The broadcast vocabulary is bounded by the model.
     """
     spark = docs.sparkSession

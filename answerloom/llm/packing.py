@@ -54,18 +54,13 @@ class _Ids(Memo):
         self.ids.extend(np.fromiter((i for x in encoded for i in x), np.uint32, int(lengths.sum())))
 
 
-_MEMOS = {}
+def _load(model):
+    import os
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core already
+    from tokenizers import Tokenizer
 
-def _memo(key, model):
-    if key not in _MEMOS:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core already
-        from tokenizers import Tokenizer
-
-        _MEMOS[key] = _Ids(Tokenizer.from_str(model.value))
-    return _MEMOS[key]
+    return _Ids(Tokenizer.from_str(model.value))
 
 
 def _row_ids(memo, data, offsets):
@@ -91,9 +86,9 @@ def _cut(key, model, capacity, with_ids, batches):
     import pyarrow as pa
     from pyspark import TaskContext
 
-    from answerloom.llm.textscan import pieces, text_bytes
+    from answerloom.llm.textscan import kept, pieces, text_bytes
 
-    memo, task = _memo(key, model), TaskContext.get().partitionId()
+    memo, task = kept(("ids", key), lambda: _load(model)), TaskContext.get().partitionId()
     seen = np.zeros(capacity + 1, np.int64)
     for batch in batches:
         for part in pieces(batch, size=4_000_000):

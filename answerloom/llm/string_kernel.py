@@ -27,7 +27,7 @@ SPELLED = re.compile(r"[^\W_](?:[\W_]+[^\W_]){2,}")
 SENTENCE = re.compile(r"[.?!\n]\s+|\n")
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def fold(word):
     """Lower-case base letters of a word; marks at its ends go, marks inside stay as gaps.
 
@@ -106,7 +106,7 @@ def _landmark_kernel(units, landmarks):
     for owner, features, weights in _batches(units, 200):
         values = np.einsum("ufm,f->um", table[column[features]], weights)
         kernel[owner] = np.maximum(kernel[owner], values)
-    return kernel, (cells, weights)
+    return kernel, cells
 
 
 def _svm(x, y, cost, ridge=1.0):
@@ -218,130 +218,174 @@ def fit(texts, toxic, landmarks=LANDMARKS, rounds=ROUNDS, negatives=8_000):
     Nyström map is folded back into one weight per subsequence, which gives the same values.
     A logistic rule turns a text's three highest values into its score.
     """
-    toxic = np.array(toxic, bool)
-    bags = [sentence_units(t) for t in texts]
-    bags, toxic = [b for b in bags if b], toxic[[bool(b) for b in bags]]
+    number, bags, labels = {}, [], []
+    for text, y in zip(texts, toxic):
+        sentences = [
+            np.array(sorted(number.setdefault(u, len(number)) for u in sorted(units)), np.int32)
+            for units in sentence_units(text)
+        ]
+        if sentences:
+            bags.append(sentences)
+            labels.append(bool(y))
+    toxic = np.array(labels, bool)
     if not toxic.any() or toxic.all():
         return None
+    names = list(number)
+    size = len(names)
+    gram_number = {}
+    grams = [np.array([gram_number.setdefault(g, len(gram_number)) for g in _grams(u)], np.int32) for u in names]
     # Counted over distinct sentences, so that copies of a text are no evidence of their own.
-    seen, grams, met = [{}, {}], [{}, {}], [set(), set()]
-    for bag, y in zip(bags, toxic):
-        for units in map(frozenset, bag):
-            if units not in met[int(y)]:
-                met[int(y)].add(units)
-                for found, counts in ((units, seen[int(y)]), ({g for u in units for g in _grams(u)}, grams[int(y)])):
-                    for x in found:
-                        counts[x] = counts.get(x, 0) + 1
-    n_toxic, n_clean = len(met[1]), len(met[0])
-
-    def odds(x, counts):
-        return np.log((counts[1].get(x, 0) + 0.5) / (n_toxic + 1)) - np.log((counts[0].get(x, 0) + 0.5) / (n_clean + 1))
-
-    def ratio(x, counts):
-        a, b = counts[1].get(x, 0), counts[0].get(x, 0)
-        rate = (a + b) / (n_toxic + n_clean)
-        cells = ((a, rate * n_toxic), (b, rate * n_clean), (n_toxic - a, (1 - rate) * n_toxic), (n_clean - b, (1 - rate) * n_clean))
-        return 2 * sum(n * np.log(n / due) for n, due in cells if n)
-
-    telling = {g: odds(g, grams) for g in grams[1] if odds(g, grams) > 1 and ratio(g, grams) > SIGNIFICANT}
-    value = {u: max((telling.get(g, 0.0) for g in _grams(u)), default=0.0) for u in {*seen[0], *seen[1]}}
-    clean = sorted(seen[0])
-    every = max(1, len(clean) // negatives)
+    seen, held_in, total = np.zeros((2, size), np.int64), np.zeros((2, len(gram_number)), np.int64), [0, 0]
+    met = [set(), set()]
+    for bag, y in zip(bags, toxic.astype(int)):
+        for units in bag:
+            mark = hash(units.tobytes())
+            if mark not in met[y]:
+                met[y].add(mark)
+                total[y] += 1
+                seen[y, units] += 1
+                held_in[y, np.concatenate([grams[u] for u in units])] += 1
+    odds, ratio = _evidence(held_in, total)
+    telling = np.where((odds > 1) & (ratio > SIGNIFICANT), odds, 0.0)
+    value = np.array([telling[g].max() if len(g) else 0.0 for g in grams])
+    told = value > 0
+    unit_odds = _evidence(seen, total)[0]
+    usable = np.array([bool(encode(u)) for u in names])
+    in_order = np.array(sorted(range(size), key=names.__getitem__))
+    clean = in_order[(seen[0] > 0)[in_order]]
     hard, model = [], None
     for _ in range(rounds):
-        witness = {}
+        witness = np.zeros(size, np.int64)
         for bag, y in zip(bags, toxic):
             if y:
-                sentence = max(bag, key=lambda s: (max(value[u] for u in s), min(s)))
-                unit = max(sentence, key=lambda u: (value[u], u))
-                for u in {unit, *(u for s in bag for u in s if value[u] > 0)}:
-                    witness[u] = witness.get(u, 0) + 1
+                # The best unit stands in the witness sentence; other telling units count as well.
+                every = np.unique(np.concatenate(bag))
+                best = every[value[every].argmax()]
+                witness[every[(value[every] > 0) | (every == best)]] += 1
         # A unit that clean texts hold as often, or that shares no evidence with other texts, gives none.
-        positive = sorted(
-            (u for u in witness if encode(u) and odds(u, seen) > 1 and any(g in telling for g in _grams(u))),
-            key=lambda u: (-witness[u], u))
+        found = np.flatnonzero((witness > 0) & usable & (unit_odds > 1) & told)
+        positive = sorted(found.tolist(), key=lambda u: (-witness[u], names[u]))
         if not positive:
             return None
         held = set(positive)
-        negative = [u for u in dict.fromkeys([*hard, *clean[::every]]) if u not in held and encode(u)]
+        spread = clean[::max(1, len(clean) // negatives)].tolist()
+        negative = [u for u in dict.fromkeys([*hard, *spread]) if u not in held and usable[u]]
         if not negative:
             return None
         marks = positive[:landmarks // 2] + negative[::max(1, len(negative) // (landmarks // 2))][:landmarks // 2]
-        kzz, (cells, _) = _landmark_kernel(marks, marks)
+        marks = [names[u] for u in marks]
+        kzz, cells = _landmark_kernel(marks, marks)
         values, vectors = np.linalg.eigh((kzz + kzz.T).astype(np.float64) / 2)
         good = values > 1e-4 * values[-1]
         root = vectors[:, good] / np.sqrt(values[good])
         # Units that clean texts hold too stand on both sides, in proportion to their sentences.
-        shared = [u for u in positive if u in seen[0]]
+        shared = [u for u in positive if seen[0, u]]
         units = positive + negative + shared
-        x = _landmark_kernel(units, marks)[0] @ root
+        x = _landmark_kernel([names[u] for u in units], marks)[0] @ root
         y = np.where(np.arange(len(units)) < len(positive), 1.0, -1.0)
-        own = np.array([witness[u] for u in positive], float)
-        own *= 200 / own.sum()
-        other = np.array([1 + np.log1p(seen[0].get(u, 0)) for u in negative])
+        own = witness[positive] * (200 / witness[positive].sum())
+        other = 1 + np.log1p(seen[0, negative])
         other *= 200 / other.sum()
         price = dict(zip(positive, own))
-        both = np.array([price[u] * seen[0][u] / max(1, seen[1].get(u, 0)) for u in shared])
+        both = np.array([price[u] * seen[0, u] / max(1, seen[1, u]) for u in shared])
         w = _svm(x, y, np.concatenate([own, other, both]))
         alpha = root @ w[:-1]
         primal = np.zeros(SYMBOLS**ORDER, np.float32)
         for i, row, weights in cells:
             np.add.at(primal, row, (alpha[i] * weights).astype(np.float32))
         model = {"primal": primal, "bias": float(w[-1])}
-        names = sorted({*seen[0], *seen[1]})
-        value = dict(zip(names, unit_scores(model, names).tolist()))
-        hard = sorted(seen[0], key=lambda u: (-value[u], u))[:2_000]
-    pairs = [(i, value[u]) for i, bag in enumerate(bags) for s in bag for u in s]
-    best = _top(np.array([i for i, _ in pairs]), np.array([v for _, v in pairs]), len(bags))
+        value = unit_scores(model, names)
+        hard = clean[np.argsort(-value[clean], kind="stable")[:2_000]].tolist()
+    owners = np.repeat(np.arange(len(bags)), [sum(map(len, bag)) for bag in bags])
+    best = _top(owners, value[np.concatenate([u for bag in bags for u in bag])], len(bags))
     model["weights"] = _monotone(best, toxic)
+    fold.cache_clear()
     return model
 
 
+def _evidence(counts, total):
+    """Log odds and log-likelihood ratio of being in toxic rather than clean sentences."""
+    a, b = counts[1].astype(float), counts[0].astype(float)
+    n, m = total[1], total[0]
+    odds = np.log((a + 0.5) / (n + 1)) - np.log((b + 0.5) / (m + 1))
+    rate = (a + b) / (n + m)
+    ratio = np.zeros(len(a))
+    for seen, due in ((a, rate * n), (b, rate * m), (n - a, (1 - rate) * n), (m - b, (1 - rate) * m)):
+        ratio += 2 * np.where(seen > 0, seen * np.log(np.where(seen > 0, seen, 1) / np.where(due > 0, due, 1)), 0)
+    return odds, ratio
+
+
 class _Values(Memo):
     def __init__(self):
-        super().__init__()
+        super().__init__(300_000)
         self.clear()
 
     def clear(self):
         self.values = Pool(np.float64)
 
 
+def _row_scores(model, memo, column):
+    """The scores of one Arrow column of texts."""
+    from answerloom.llm.textscan import SPACE, blocks, row_starts, span_hashes, text_bytes
+
+    data, offsets = text_bytes(column)
+    best = np.full((len(column), BEST), FLOOR)
+    for at, end in blocks(data, offsets):
+        own, first = data[at:end], row_starts(offsets, at, end)
+        space = SPACE[own]
+        start, stop = ~space, ~space
+        start[1:] &= space[:-1] | first[1:]
+        stop[:-1] &= space[1:] | first[1:]
+        starts, ends = np.flatnonzero(start), np.flatnonzero(stop) + 1
+        row = np.searchsorted(offsets, starts + at, "right") - 1
+        slots = memo.find(span_hashes(own, starts, ends, lower=True), lambda new: memo.values.extend(
+            unit_scores(model, [fold(own[starts[i]:ends[i]].tobytes().decode()) for i in new.tolist()])))
+        found = [(row, memo.values.array[slots])]
+        single = np.flatnonzero((ends - starts == 1) | ((ends - starts == 2) & (own[starts] == 0xC3)))
+        runs = np.split(single, np.flatnonzero((np.diff(single) != 1) | (np.diff(row[single]) != 0)) + 1)
+        for run in runs:
+            if len(run) > 2:
+                words = [own[starts[i]:ends[i]].tobytes().decode() for i in run.tolist()]
+                joined = [fold(w) for w in _spelled(words)]
+                if joined:
+                    found.append((np.full(len(joined), row[run[0]]), unit_scores(model, joined)))
+        best = _merged(best, _top(*map(np.concatenate, zip(*found)), len(best)))
+    logit = best @ model["weights"][:-1] + model["weights"][-1]
+    return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+
+def _memo(model):
+    """The values a worker knows already; they belong to one model."""
+    from answerloom.llm.textscan import kept
+
+    return kept(("values", hash((model["primal"].tobytes(), model["bias"]))), _Values)
+
+
 def _score(model, batches):
     import pyarrow as pa
 
-    from answerloom.llm.textscan import SPACE, blocks, pieces, row_starts, span_hashes, text_bytes
+    from answerloom.llm.textscan import pieces
 
-    model, memo = model.value, _Values()
+    memo = _memo(model.value)
     for batch in batches:
         for part in pieces(batch):
-            data, offsets = text_bytes(part.column(1))
-            best = np.full((part.num_rows, BEST), FLOOR)
-            for at, end in blocks(data, offsets):
-                own, first = data[at:end], row_starts(offsets, at, end)
-                space = SPACE[own]
-                start, stop = ~space, ~space
-                start[1:] &= space[:-1] | first[1:]
-                stop[:-1] &= space[1:] | first[1:]
-                starts, ends = np.flatnonzero(start), np.flatnonzero(stop) + 1
-                row = np.searchsorted(offsets, starts + at, "right") - 1
-                slots = memo.find(span_hashes(own, starts, ends, lower=True), lambda new: memo.values.extend(
-                    unit_scores(model, [fold(own[starts[i]:ends[i]].tobytes().decode()) for i in new.tolist()])))
-                found = [(row, memo.values.array[slots])]
-                single = np.flatnonzero((ends - starts == 1) | ((ends - starts == 2) & (own[starts] == 0xC3)))
-                runs = np.split(single, np.flatnonzero((np.diff(single) != 1) | (np.diff(row[single]) != 0)) + 1)
-                for run in runs:
-                    if len(run) > 2:
-                        words = [own[starts[i]:ends[i]].tobytes().decode() for i in run.tolist()]
-                        joined = [fold(w) for w in _spelled(words)]
-                        if joined:
-                            found.append((np.full(len(joined), row[run[0]]), unit_scores(model, joined)))
-                best = _merged(best, _top(*map(np.concatenate, zip(*found)), len(best)))
-            logit = best @ model["weights"][:-1] + model["weights"][-1]
-            score = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+            score = _row_scores(model.value, memo, part.column(1))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score)], ["id", "score"])
 
 
-def labelled_sample(docs, labels, id_col="doc_id", text_col="text", label_col="toxic", toxic_rows=1_500, clean_rows=3_000):
+def _clean_rows(model, column, limit, batches):
+    import pyarrow as pa
+
+    from answerloom.llm.textscan import pieces
+
+    memo = _memo(model.value)
+    for batch in batches:
+        at = batch.schema.names.index(column)
+        for part in pieces(batch, at):
+            yield part.filter(pa.array(_row_scores(model.value, memo, part.column(at)) < limit))
+
+
+def labelled_sample(docs, labels, id_col="doc_id", text_col="text", label_col="toxic", toxic_rows=1_000, clean_rows=2_000):
     """At most so many texts of either label, by the hash of their id: ``(texts, labels)``.
 
     The bound holds for the classifier's training alone. Only ids are sorted; the
@@ -354,9 +398,10 @@ def labelled_sample(docs, labels, id_col="doc_id", text_col="text", label_col="t
         one.where("y = 0").orderBy(*order).limit(clean_rows))
     rows = (
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-        .join(F.broadcast(chosen), "id").orderBy("id", "text").collect()
+        .join(F.broadcast(chosen), "id").orderBy("id", "text").toArrow()
     )
-    return [r["text"] for r in rows], [r["y"] == 1 for r in rows]
+    # Texts are taken out of the Arrow table one by one.
+    return (t.as_py() for t in rows.column("text")), [y == 1 for y in rows.column("y").to_pylist()]
 
 
 def toxicity_scores(docs, model, id_col="doc_id", text_col="text"):
@@ -383,14 +428,4 @@ def drop_toxic(docs, model, text_col="text", limit=0.7):
     if model is None:
         return docs
     shared = spark.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-        import pyarrow as pa
-
-        column = pa.array(texts, pa.string(), from_pandas=True)
-        batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(column))), column], ["id", "text"])
-        return pd.concat([b.column(1).to_pandas() for b in _score(shared, [batch])], ignore_index=True) if len(column) else pd.Series([], dtype=float)
-
-    return docs.where(score(F.col(text_col).cast("string")) < limit)
+    return docs.mapInArrow(partial(_clean_rows, shared, text_col, limit), docs.schema)

@@ -10,6 +10,8 @@ from answerloom.llm.textscan import gather
 from answerloom.session import cut_lineage, ship_package
 
 SLOTS, ROWS = 200, 5
+#: Bytes of text a worker turns into signatures together.
+PIECE = 500_000
 
 
 def shingle_sets(data, offsets, k):
@@ -74,7 +76,7 @@ def signatures(sets, m=SLOTS):
             break
         if order is None:
             x, owner, k = x[going], owner[going], k[going]
-            order = np.tile(np.arange(m, dtype=np.uint16), (len(x), 1))
+            order = np.tile(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (len(x), 1))
             order[np.arange(len(x)), k] = 0
             order[:, 0] = k
         elif not going.all():
@@ -97,10 +99,11 @@ def band_keys(low, rows=ROWS):
 def _sketch(k, m, rows, batches):
     import pyarrow as pa
 
-    from answerloom.llm.textscan import mix, pieces, text_bytes
+    from answerloom.llm.textscan import kept, mix, pieces, text_bytes
 
+    kept("sketch", object)  # lets go of what other operators keep
     for batch in batches:
-        for part in pieces(batch):
+        for part in pieces(batch, size=PIECE):
             sets = shingle_sets(*text_bytes(part.column(1)), k)
             n = np.array([len(s) for s in sets], np.int64)
             sums = np.array([[s.sum(dtype=np.uint64), mix(s).sum(dtype=np.uint64)] for s in sets], np.uint64)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes looked at together; bounds the working arrays (about 40 bytes per byte of text).
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 R = np.uint64(0x9E3779B97F4A7C15)
 R_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
@@ -140,7 +140,7 @@ def chunk_hashes(data, starts):
 class Memo:
     """What a worker has computed for distinct chunks, by hash; emptied when it grows past ``limit``."""
 
-    def __init__(self, limit=1_000_000):
+    def __init__(self, limit=500_000):
         self.limit, self.slots = limit, {}
 
     def find(self, hashes, compute):
@@ -162,6 +162,17 @@ class Memo:
         """Forget what the slots stand for."""
 
 
+_KEPT = {}
+
+
+def kept(key, make):
+    """What a worker process keeps from task to task: the last thing only, so that operators do not add up."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 class Pool:
     """A growing array."""
 

@@ -54,20 +54,15 @@ class _Samples(Memo):
         self.values.extend((log_c - r * (t - b) - r).astype(np.float32).reshape(-1))
 
 
-_MEMOS = {}
-
-
 def fingerprints(column, samples=SAMPLES):
     """16-bit sample names, one row per text: ``uint16[len(column), samples]``.
 
     Terms are words (runs of non-space, A-Z lower-cased) weighted by the square
     root of their count. A text without words has the all-zero fingerprint.
     """
-    from answerloom.llm.textscan import R, gather, mix, text_bytes, word_hashes
+    from answerloom.llm.textscan import R, kept, mix, text_bytes, word_hashes
 
-    if samples not in _MEMOS:
-        _MEMOS[samples] = _Samples(samples)
-    memo = _MEMOS[samples]
+    memo = kept(("samples", samples), lambda: _Samples(samples))
     words, at = word_hashes(*text_bytes(column), lower=True)
     out = np.zeros((len(column), samples), np.uint16)
     # Rows are worked on in runs of about 20,000 distinct terms; a long text stands alone.

@@ -77,9 +77,9 @@ def test_sample_is_bounded_and_ignores_nulls(spark):
     labels = spark.createDataFrame(
         [(i, 0, i % 2) for i in range(100)] + [(0, 0, 1), (None, 0, 1), (5, 0, None), (777, 0, 1)], "doc_id long, quality int, toxic int")
     texts, toxic = sk.labelled_sample(docs, labels, toxic_rows=10, clean_rows=20)
-    assert 9 <= sum(toxic) <= 10 and len(texts) - sum(toxic) == 20
+    assert 9 <= sum(toxic) <= 10 and len(list(texts)) - sum(toxic) == 20
     texts, toxic = sk.labelled_sample(docs, labels)
-    assert dict(zip(texts, toxic))["t0"] and len(texts) == 100
+    assert dict(zip(texts, toxic))["t0"] and len(toxic) == 100
 
 
 def test_held_out_accuracy(spark):
