@@ -1,7 +1,6 @@
 """Byte-level BPE: corpus word counts and merges learned with Spark jobs."""
 
 import heapq
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +11,7 @@ from answerloom.functions.text import sample_lines
 from answerloom.functions.templates import pair_text
 from answerloom.functions.splits import is_val
 from answerloom.operators.sampling import keyed_sample
-from answerloom.session import cut_lineage
+from answerloom.session import cut_lineage, delete_path, work_dir
 
 # The special tokens (ids 0-4) and the public byte-level word pattern:
 # 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
@@ -156,17 +155,15 @@ class _Vocabulary:
         return BpeModel(tuple(self.tokens), tuple(self.merges))
 
 
-def learn_bpe(counts, vocab_size, alphabet="observed", min_count=1, driver_chars=32_000_000):
+def learn_bpe(counts, vocab_size, alphabet="observed", min_count=1, listed=16_384):
     """Learn a BPE vocabulary from a ``(pretoken, count)`` table.
 
     The most frequent pair is merged first, ties go to the smaller ids.
     ``alphabet="observed"`` starts from the bytes that occur, ``"bytes"`` from
     all 256. ``min_count`` > 1 ignores rarer words.
 
-    The corpus-sized work is the count table. Merges are learned by Spark jobs
-    over it, unless one checked aggregate shows that all its words together have
-    at most ``driver_chars`` characters; then the loop runs on the driver. Both
-    give the same merges. Set ``driver_chars=0`` to force the Spark jobs.
+    The word table stays on the cluster at every size; what reaches the driver
+    (letters, the most frequent pairs, changes of pair counts) is bounded by the vocabulary.
     """
     if alphabet not in ("observed", "bytes"):
         raise ValueError("alphabet is 'observed' or 'bytes'")
@@ -176,10 +173,9 @@ def learn_bpe(counts, vocab_size, alphabet="observed", min_count=1, driver_chars
         kept.select(latin.alias("word"), F.col("count").cast("long").alias("n")), "words"
     )
     letters = (
-        words.select(F.explode(F.split("word", "")).alias("c")).where("c <> ''")
-        .groupBy("c").count().collect()  # at most 256 rows
+        words.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).where("c <> ''")
+        .distinct().collect()  # at most 256 rows
     )
-    total = sum(r["count"] for r in letters)
     seen = range(256) if alphabet == "bytes" else [ord(r["c"]) for r in letters]
     vocab = _Vocabulary(seen)
     source = "".join(chr(b) for b in vocab.byte_symbols)
@@ -187,10 +183,7 @@ def learn_bpe(counts, vocab_size, alphabet="observed", min_count=1, driver_chars
     symbols = words.where(F.length("word") > 1).select(
         F.translate("word", source, target).alias("word"), "n"
     )
-    if total <= driver_chars:
-        _merge_on_driver(symbols, vocab, vocab_size)
-    else:
-        _merge_by_jobs(symbols, vocab, vocab_size)
+    _merge_by_jobs(symbols, vocab, vocab_size, listed)
     return vocab.model()
 
 
@@ -201,65 +194,11 @@ def every_other(places):
     return places[(np.arange(len(places)) - run_start) % 2 == 0]
 
 
-def _weighted_counts(keys, weights):
-    unique, place = np.unique(keys, return_inverse=True)
-    totals = np.zeros(len(unique), np.int64)
-    np.add.at(totals, place, weights)
-    return zip(unique.tolist(), totals.tolist())
-
-
-def _merge_on_driver(symbols, vocab, vocab_size):
-    """Pair counts kept up to date over one flat array of a bounded word table.
-
-    Words lie behind each other with a 0 after each; a merge looks at the
-    places of its left symbol and at their neighbours only.
-    """
-    table = symbols.select(F.concat("word", F.lit("\0")).alias("word"), "n").toArrow()
-    text = "".join(table.column("word").to_pylist())
-    codes = np.frombuffer(text.encode("utf-32-le"), np.int32).copy()
-    weight = table.column("n").to_numpy()
-    word = np.concatenate(([0], np.cumsum(codes == 0)[:-1])).astype(np.int32) if len(codes) else codes
-    base = 1 << 21  # more than any code point, so a pair is one ordered integer
-    counts = Counter()
-
-    def pairs_at(places):
-        places = places[(places >= 0) & (places < len(codes) - 1)]
-        places = places[(codes[places] != 0) & (codes[places + 1] != 0)]
-        pairs = codes[places].astype(np.int64) * base + codes[places + 1]
-        return _weighted_counts(pairs, weight[word[places]])
-
-    counts.update(dict(pairs_at(np.arange(len(codes)))))
-    heap = [(-n, key) for key, n in counts.items()]
-    heapq.heapify(heap)
-    while heap and len(vocab.tokens) < vocab_size:
-        negative, key = heapq.heappop(heap)
-        if counts[key] != -negative:
-            if counts[key] > 0:
-                heapq.heappush(heap, (-counts[key], key))
-            continue
-        left, right = divmod(key, base)
-        symbol = ord(vocab.add(chr(left) + chr(right)))
-        hits = np.flatnonzero(codes == left)  # never the last place, which is 0
-        hits = every_other(hits[codes[hits + 1] == right])
-        gone = dict(pairs_at(np.unique(np.concatenate((hits - 1, hits, hits + 1)))))
-        codes[hits] = symbol
-        keep = np.ones(len(codes), bool)
-        keep[hits + 1] = False
-        codes, word = codes[keep], word[keep]
-        moved = hits - np.arange(len(hits))
-        change = Counter(dict(pairs_at(np.unique(np.concatenate((moved - 1, moved))))))
-        change.subtract(gone)
-        for k, d in change.items():
-            counts[k] += d
-            if d > 0:
-                heapq.heappush(heap, (-counts[k], k))
-        if counts[key] <= 0:
-            del counts[key]
-
-
-def _exact_batch(top, vocab, room, complete):
+def _exact_batch(top, vocab, room, floor):
     """Pairs of the sorted list ``top`` that can be merged in one round.
 
+    Every pair that is not listed has at most ``floor`` occurrences.
+
     Merging (a, b) changes the counts of pairs that end in a or start with b,
     and creates pairs that are at most as frequent as those were. So a further
     pair joins while it is not one of them and is more frequent than all of
@@ -279,8 +218,8 @@ def _exact_batch(top, vocab, room, complete):
         lefts.add(pair[0])
         rights.add(pair[1])
         rest = [m for p, m in top[k + 1:] if _touched(p, lefts, rights)][:1]
-        # Pairs beyond a cut list may be touched too, with up to the last listed count.
-        bound = max(rest + [0 if complete else top[-1][1]])
+        # Pairs beyond the list may be touched too.
+        bound = max(rest + [floor])
     return batch
 
 
@@ -289,41 +228,94 @@ def _touched(pair, lefts, rights):
 
 
 def _apply(merges, word):
-    """All pending merges in order, as one fold over a constant array of steps.
+    """All merges in order, as one fold over a constant array of steps.
 
     The expression has the same shape in every round, so Spark does not compile
     a longer chain of replacements each time.
     """
-    if not merges:
-        return word
     steps = F.split(F.lit(" ".join(pair + symbol for pair, symbol in merges)), " ")
     return F.aggregate(
         steps, word, lambda w, step: F.replace(w, F.substring(step, 1, 2), F.substring(step, 3, 1))
     )
 
 
-def _merge_by_jobs(symbols, vocab, vocab_size, top_pairs=512, max_pending=64):
-    """One job per round: apply the pending merges, count pairs, read the top pairs.
+def _pairs_of(word):
+    """All neighbouring symbols of a word."""
+    last = F.length(word) - 1
+    pairs = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(word, i, F.lit(2)))
+    return F.when(last > 0, pairs).otherwise(F.array().cast("array<string>"))
+
+
+def _top_pairs(words, limit):
+    """The most frequent pairs of a full count, and the count no other pair exceeds."""
+    rows = (
+        words.select(F.explode(_pairs_of(F.col("word"))).alias("pair"), "n").groupBy("pair")
+        .agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.asc("pair")).limit(limit + 1).collect()
+    )
+    floor = rows[-1]["n"] if len(rows) > limit else 0
+    return {r["pair"]: r["n"] for r in rows[:limit]}, floor
+
+
+def _changes(words, merges):
+    """How the counts of pairs change when ``merges`` are applied, from the words they touch alone.
 
-    After ``max_pending`` merges the words are written to a new table, which
-    bounds both the work per word and the lineage.
+    Only pairs beside a merged place differ, so there are at most a few per
+    merge and symbol of the vocabulary.
     """
-    base, pending = symbols, []
+    merged = F.split(F.lit(" ".join(pair for pair, _ in merges)), " ")
+    touched = F.exists(merged, lambda pair: F.contains(F.col("word"), pair))
+    before = F.transform(_pairs_of(F.col("word")), lambda p: F.struct(p.alias("pair"), F.lit(-1).alias("sign")))
+    after = F.transform(_pairs_of(F.col("next")), lambda p: F.struct(p.alias("pair"), F.lit(1).alias("sign")))
+    rows = words.where(touched).withColumn("next", _apply(merges, F.col("word")))
+    return (
+        rows.select(F.explode(F.concat(before, after)).alias("x"), "n").groupBy("x.pair")
+        .agg(F.sum(F.col("n") * F.col("x.sign")).alias("d")).where("d <> 0").collect()
+    )
+
+
+def _merge_by_jobs(symbols, vocab, vocab_size, listed=16_384, at_once=2_048, max_pending=48):
+    """One job per round: read how a batch of merges changes pair counts.
+
+    The driver keeps the exact counts of the ``listed`` most frequent pairs and
+    of all pairs with a new symbol; every other pair has at most ``floor``
+    occurrences and can only lose some. When the best known pair falls to the floor,
+    all pairs are counted anew. After ``max_pending`` merges the words are written to a
+    new table, which bounds the work per word and the lineage, and the table before is deleted.
+    """
+    spark, base, pending, path = symbols.sparkSession, symbols, [], None
+    counts, floor = _top_pairs(base, listed)
     while len(vocab.tokens) < vocab_size:
-        current = base.select(_apply(pending, F.col("word")).alias("word"), "n")
-        if len(pending) >= max_pending:
-            longer = current.where(F.length("word") > 1)
-            base, pending = cut_lineage(longer, "merged_words"), []
-            current = base
-        last = F.length("word") - 1
-        pairs = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring("word", i, F.lit(2)))
-        top = (
-            current.select(F.explode(F.when(last > 0, pairs)).alias("pair"), "n").groupBy("pair")
-            .agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.asc("pair"))
-            .limit(top_pairs).collect()
-        )
-        top = [(r["pair"], r["n"]) for r in top]
-        batch = _exact_batch(top, vocab, vocab_size - len(vocab.tokens), len(top) < top_pairs)
-        if not batch:
+        words = base.select(_apply(pending, F.col("word")).alias("word"), "n") if pending else base
+        known = ((p, n) for p, n in counts.items() if n > floor)
+        top = heapq.nsmallest(at_once + 1, known, key=lambda x: (-x[1], x[0]))
+        if not top:
+            counts, floor = _top_pairs(words, listed)
+            # Of a tie across the cut the first pair is right: the list is sorted.
+            top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:at_once + 1]
+            if not top:
+                break
+        beyond = top.pop()[1] if len(top) > at_once else 0
+        batch = _exact_batch(top, vocab, vocab_size - len(vocab.tokens), max(floor, beyond))
+        existed = any(vocab.joined(pair) in vocab.ids for pair in batch)
+        merges = [(pair, vocab.add(pair)) for pair in batch]
+        if len(vocab.tokens) >= vocab_size:
             break
-        pending += [(pair, vocab.add(pair)) for pair in batch]
+        if existed:
+            counts, floor = {}, 0  # pairs with a symbol that was there before may gain: count anew
+        else:
+            new = {symbol for _, symbol in merges}
+            for r in _changes(words, merges):
+                if r["pair"] in counts or r["pair"][0] in new or r["pair"][1] in new:
+                    counts[r["pair"]] = counts.get(r["pair"], 0) + r["d"]
+                    if counts[r["pair"]] <= 0:
+                        del counts[r["pair"]]
+        pending += merges
+        if len(pending) >= max_pending:
+            old, path = path, work_dir(spark, "merged-words")
+            merged = base.select(_apply(pending, F.col("word")).alias("word"), "n")
+            merged.where(F.length("word") > 1).write.parquet(path)
+            base, pending = spark.read.schema(symbols.schema).parquet(path), []
+            if old:
+                delete_path(spark, old)
+    if path:
+        delete_path(spark, path)

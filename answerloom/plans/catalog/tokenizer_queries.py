@@ -140,14 +140,15 @@ def _merge_ids(spark, model):
 
 @query(_MERGES)
 def bpe_merges(spark, d):
-    """Merges learned with the bounded driver loop."""
+    """All merges, in order."""
     return _merge_ids(spark, _model(spark, d))
 
 
 @query(_MERGES)
 def bpe_merges_by_jobs(spark, d):
-    """The same merges learned with one Spark job per round."""
-    return _merge_ids(spark, _model(spark, d, driver_chars=0))
+    """The same merges with a short list of pairs, so that rounds often count all pairs anew."""
+    model = _model(spark, d, listed=40)
+    return _merge_ids(spark, model)
 
 
 @query(f"""WITH RECURSIVE {_CONV} SELECT id, chr(CAST(cp AS INTEGER)) AS token FROM alpha

@@ -85,6 +85,13 @@ def path_exists(spark, path):
     return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
 
 
+def delete_path(spark, path):
+    """Remove a working folder of this library."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
 def list_files(spark, folder):
     """Sorted paths of the data files or dataset folders directly below ``folder``."""
     jvm = spark.sparkContext._jvm
