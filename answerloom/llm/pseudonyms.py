@@ -193,14 +193,17 @@ def _card(x, key):
 
 
 def _phone(x, key):
-    """The country code and the first digits of area and exchange stay (2 to 9 in valid numbers)."""
+    """The country code and the first digits of area and exchange stay, whatever they are.
+
+    Without a country code an area code that begins with 1 is none.
+    """
     def moved(d):
         local = F.substring(d, F.char_length(d) - 9, F.lit(10))
         part = lambda a, n: F.substring(local, a, n)
         fresh = feistel_text(F.concat(part(2, 2), part(5, 6)), key, "phone")
         whole = lambda f: F.concat(
             F.substring(d, F.lit(1), F.char_length(d) - 10), part(1, 1), F.substring(f, 1, 2), part(4, 1), F.substring(f, 3, 6))
-        valid = part(1, 1).rlike("[2-9]") & part(4, 1).rlike("[2-9]")
+        valid = (F.char_length(d) > 10) | (part(1, 1) != "1")
         return F.when(valid, _let(fresh, lambda f: _refill(x, whole(f))))
 
     return _let(_digits(x), moved)
@@ -221,10 +224,11 @@ def _found(token, key):
     """(kind, token, pseudonym) of a match; kind and pseudonym are NULL if it is not valid."""
     kind = F.lit(None).cast("string")
     new = F.lit(None).cast("string")
+    named = {"phone": F.when(_digits(token).rlike("[2-9]..[2-9].{6}$"), "phone").otherwise("phone_other")}
     bare = {"email": "@", "iban": "^[A-Z]", "date": rf"^(?:{DATE})$", "ipv4": rf"^(?:{IPV4})$", "ssn": rf"^(?:{SSN})$"}
     for name, pattern, make in reversed(KINDS):
         here = F.lit(True) if name == "phone" else token.rlike(bare.get(name, f"^(?:{pattern})$"))
-        kind, new = F.when(here, F.lit(name)).otherwise(kind), F.when(here, make(token, key)).otherwise(new)
+        kind, new = F.when(here, named.get(name, F.lit(name))).otherwise(kind), F.when(here, make(token, key)).otherwise(new)
     return _let(new, lambda n: F.struct(F.when(n.isNotNull(), kind).alias("kind"), token.alias("value"), n.alias("pseudonym")))
 
 
@@ -233,7 +237,9 @@ def pseudonymise(docs, key, text_col="text", found_col="pseudonyms"):
 
     Looked for: e-mail addresses, IBANs (mod 97), days (four formats, 1800 to 2199), IPv4
     addresses, US social security numbers, payment cards (Luhn) and
-    ten-digit phone numbers. Values that fail their check stay as they are. A value is
+    ten-digit phone numbers (kind ``phone_other`` if the area code or the exchange begins
+    with 0 or 1). Values that fail their check stay as they are, and so do
+    numbers without a country code whose area code begins with 1. A value is
     permuted by a keyed Feistel network within its own format, so the result is
     valid again and equal values get equal pseudonyms in all documents, also
     if they are punctuated in another way. ``found_col`` holds (kind, pseudonym) in order

@@ -116,3 +116,14 @@ def test_given_documents_are_found_whole(spark):
         if not kinds:
             assert got[r.doc_id].text == r.text
     assert n > 40
+
+
+def test_phones_of_every_area_and_exchange_are_replaced(spark):
+    texts = ["+1 (017) 555-7713", "+1 (117) 555-7713", "+1 (639) 055-7713", "(017) 555-7713", "639-155-7713"]
+    for text, r in zip(texts, run(spark, [f"call {t} now" for t in texts])):
+        (p,) = r.pseudonyms
+        assert p.kind == "phone_other" and r.text == f"call {p.pseudonym} now" and p.pseudonym != text and shape(p.pseudonym) == shape(text)
+    docs = spark.read.parquet(f"{SF[:-5]}0.1/documents.parquet").where("text LIKE '%+1 (%'")
+    found = {r.doc_id: [p.kind[:5] for p in r.pseudonyms].count("phone") for r in ps.pseudonymise(docs, KEY).collect()}
+    want = {r.doc_id: len(re.findall(r"\+1 \(\d{3}\) \d{3}-\d{4}", r.text)) for r in docs.collect()}
+    assert found == want and sum(want.values()) == 159
