@@ -18,6 +18,32 @@ SYMBOLS = {
 }
 SPAN = "struct<start:bigint,kind_no:int,stop:bigint>"
 LEVELS, NOT_REJECTED, RATE = 80, 22, 0.01
+#: Lengths of the bins, and what made decoys are put together from.
+BINS = ((16, 19), (20, 23), (24, 31), (32, 47), (48, 64))
+PIECES = (
+    "the and ing ion ent her for that int ere tion ver all ter ment ness able less ful over under out back work hand "
+    "light house name value time line file user data list table index string number key map test run set get new old "
+    "er en ein sch ich und der die das keit heit ung lich ver be ge auf aus mit nach vor zeit haus wort teil stand "
+    "le la les que ou en re de ment ence eau eur ette aire oir on ez ant par pour sur entre contre"
+).split()
+#: Of 20,000 made decoys per bin, how many score at the levels 0, 1, .. LEVELS (``made_decoys`` makes them again).
+MADE = {
+    16: [1, 4, 11, 23, 67, 108, 154, 193, 227, 277, 332, 364, 373, 401, 427, 454, 460, 465, 388, 455, 396, 457, 426, 400, 354, 384, 457,
+         407, 404, 380, 295, 295, 333, 358, 344, 265, 277, 282, 291, 263, 226, 240, 202, 207, 203, 233, 233, 256, 192, 144, 123, 127, 134, 137,
+         177, 196, 200, 161, 107, 80, 57, 55, 73, 117, 187, 182, 158, 128, 99, 293, 524, 511, 430, 306, 278, 196, 166, 119, 89, 70, 132],
+    20: [0, 0, 1, 6, 5, 11, 17, 47, 54, 69, 76, 112, 133, 156, 164, 189, 187, 213, 246, 233, 261, 206, 323, 324, 317, 297, 281,
+         294, 298, 354, 338, 320, 306, 260, 284, 278, 339, 316, 300, 225, 211, 231, 310, 349, 326, 216, 174, 154, 223, 243, 324, 290, 237, 165,
+         123, 118, 220, 305, 308, 223, 164, 150, 94, 61, 157, 256, 224, 206, 149, 549, 951, 970, 810, 643, 487, 357, 301, 245, 194, 137, 305],
+    24: [0, 0, 0, 0, 0, 0, 1, 3, 4, 6, 6, 9, 13, 20, 17, 34, 33, 29, 41, 56, 59, 59, 66, 86, 84, 99, 101,
+         101, 114, 131, 116, 129, 134, 161, 156, 145, 160, 151, 124, 155, 197, 226, 162, 130, 148, 268, 240, 166, 173, 115, 207, 255, 296, 185,
+         146, 138, 172, 243, 240, 210, 155, 135, 160, 197, 230, 188, 182, 162, 166, 1006, 1909, 1877, 1588, 1258, 1045, 808, 598, 458, 341, 289, 728],
+    32: [0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1, 1, 0, 1, 1, 0, 1, 1, 1,
+         3, 3, 2, 5, 5, 8, 9, 7, 5, 10, 17, 10, 9, 8, 13, 19, 15, 19, 25, 22, 25, 22, 21, 39, 26, 27, 29,
+         43, 44, 32, 29, 42, 39, 70, 41, 54, 46, 45, 56, 54, 54, 56, 1227, 2702, 3022, 2651, 2035, 1684, 1348, 1033, 808, 583, 454, 1338],
+    48: [0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0,
+         0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0,
+         0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1020, 2393, 2847, 2530, 2297, 1922, 1497, 1202, 940, 773, 603, 1976],
+}
 
 
 def _positions(text, pattern, group, least, kind_no):
@@ -111,11 +137,23 @@ def _length_bin(token):
     return F.when(n < 20, 16).when(n < 24, 20).when(n < 32, 24).when(n < 48, 32).otherwise(48)
 
 
+def made_decoys(spark, n):
+    """``n`` plain words per length bin, put together from ``PIECES`` by a hash: columns ``bin`` and ``token``."""
+    bins = F.explode(F.array(*[F.struct(F.lit(low).alias("bin"), F.lit(high).alias("high")) for low, high in BINS]))
+    pieces = F.array(*map(F.lit, PIECES))
+    rows = spark.range(n).select("id", bins.alias("b")).select("id", "b.*")
+    draw = lambda i, size: F.pmod(F.xxhash64("id", "bin", i), F.lit(size)).cast("int")
+    word = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.get(pieces, draw(i, len(PIECES)))), "")
+    return rows.select("bin", F.substring(
+        word, F.lit(1), F.col("bin") + F.pmod(F.xxhash64("id", "bin", F.lit(0)), F.col("high") - F.col("bin") + 1).cast("int")).alias("token"))
+
+
 def thresholds(docs, text_col="text", rate=RATE):
     """Per length bin the highest battery score at which at most ``rate`` of the finds are false.
 
     All candidate strings of the corpus are scored. Plain words are decoys: they
-    are no secrets. With N0 the candidates that are no secrets (estimated from those as
+    are no secrets. Made ones (``MADE``) join those of the corpus in every bin, so a bin with
+    few or none has a control too. With N0 the candidates that are no secrets (estimated from those as
     unlike randomness as most decoys are), the false share at a score s is
     N0 * (decoys up to s + 1) / (decoys + 1) / (candidates up to s). A score
     the battery would reject as random at 0.1 % is never taken. The result
@@ -128,6 +166,9 @@ def thresholds(docs, text_col="text", rate=RATE):
         F.least(F.floor(battery(F.col("token"))), F.lit(LEVELS)).alias("level"))
     counts = scored.groupBy("bin", "level").agg(
         F.count_if(F.col("decoy")).alias("decoys"), F.count_if(~F.col("decoy")).alias("others"))
+    made = docs.sparkSession.sql("SELECT * FROM VALUES " + ", ".join(
+        f"({low}, {level}L, {n}L, 0L)" for low, found in MADE.items() for level, n in enumerate(found) if n))
+    counts = counts.union(made).groupBy("bin", "level").agg(F.sum("decoys").alias("decoys"), F.sum("others").alias("others"))
     per_bin = Window.partitionBy("bin")
     upto = per_bin.orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
     # Decoys above the middle score of decoys, and the candidates up there, give N0.

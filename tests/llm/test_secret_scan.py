@@ -87,3 +87,23 @@ def test_random_strings_are_found_and_words_are_not(spark, tmp_path):
     assert np.mean(hit[1::2]) > 0.95 and np.mean(hit[::2]) < 0.02
     place = rows[1][1].index(keys[1])
     assert spans[1] == f"random:{place}:{place + 40}"
+
+
+@pytest.mark.parametrize("decoys, junk, least", [(0, 3, 0.9), (1, 3, 0.9), (20, 100, 0.9), (0, 10_000, 0.3)])
+def test_limits_hold_whatever_decoys_a_bin_has(spark, decoys, junk, least):
+    rng = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = ["list", "zeit", "under", "value", "schrift", "teil", "oben", "count", "index", "avant", "mot"]
+    phrase = lambda mark: (mark.join(rng.choices(words, k=14)))[:28]
+    tokens = [("key", "".join(rng.choices(letters, k=28))) for _ in range(100)]
+    tokens += [("decoy", phrase("")) for _ in range(decoys)] + [("junk", phrase("_")[:26] + "_1") for _ in range(junk)]
+    docs = spark.createDataFrame(tokens, "kind string, text string")
+    found = [r.kind for r in ss.secret_spans(docs).where("size(secret_spans) > 0").select("kind").collect()]
+    assert found.count("key") >= least * 100 and found.count("key") >= 0.98 * len(found)
+
+
+def test_made_decoys_are_made_again(spark):
+    made = ss.made_decoys(spark, 20_000).where("bin = 48")
+    assert made.where(~ss.F.col("token").rlike(ss.DECOY) | (ss._length_bin(ss.F.col("token")) != 48)).isEmpty()
+    assert made.where(ss.battery(ss.F.col("token")) < ss.NOT_REJECTED + 1).count() == sum(ss.MADE[48][:ss.NOT_REJECTED + 1])
+    assert all(sum(found) == 20_000 and len(found) == ss.LEVELS + 1 for found in ss.MADE.values())
