@@ -14,6 +14,7 @@ RECORD = "urn:x-page:"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MEMBER = b"\x1f\x8b\x08"
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 
 
 def _digest(data):
@@ -95,7 +96,11 @@ def _parse(data, at):
     """The record at ``at`` of uncompressed bytes and its end, or why there is none."""
     if not _START.match(data, at) or data[at:at + 2] == MEMBER[:2]:
         return None, "no version line"
-    stop = data.find(b"\r\n\r\n", at, at + 65_536)
+    reach = 65_536
+    while (stop := data.find(b"\r\n\r\n", at, at + reach)) < 0 and at + reach < len(data):
+        if _START.search(data, at + 1, at + reach):
+            break
+        reach *= 2
     if stop < 0:
         return None, "unfinished header"
     if _START.search(data, at + 1, stop + 2):
@@ -121,50 +126,99 @@ def _parse(data, at):
     return (fields, block, end + 4), ""
 
 
-def _unpack(data, at):
-    """The records of the gzip member at ``at`` and its end, or why there are none."""
+def _inflate(data, at):
+    """What the gzip member at ``at`` unpacks to as far as it does, the end of what was read, and what is wrong."""
     unpacker = zlib.decompressobj(31)
     try:
         plain = unpacker.decompress(memoryview(data)[at:])
+        return plain, len(data) - len(unpacker.unused_data), "" if unpacker.eof else "short member"
     except zlib.error:
-        return None, "damaged member"
-    if not unpacker.eof:
-        return None, "short member"
-    end = len(data) - len(unpacker.unused_data)
-    records, i = [], 0
+        pass
+    unpacker, parts, step = zlib.decompressobj(31), [], 16_384
+    while True:
+        before = unpacker.copy()
+        try:
+            parts.append(unpacker.decompress(data[at:at + step]))
+            at += step
+        except zlib.error:
+            if step == 1:
+                return b"".join(parts), at + 1, "damaged member"
+            unpacker, step = before, max(step // 16, 1)
+
+
+def _inside(plain):
+    """Valid records ``(fields, block, "")`` of unpacked bytes and gaps ``(None, None, why)`` between them."""
+    i, lost, reason = 0, None, ""
+    gap = lambda stop: (None, None, f"{reason}, unpacked bytes {lost} to {stop}")
     while i < len(plain):
-        record, why = _parse(plain, i)
-        if record is None:
-            return None, why
-        records.append(record[:2])
-        i = record[2]
-    return (records, end), ""
+        got, why = _parse(plain, i)
+        if got:
+            if lost is not None:
+                yield gap(i)
+                lost = None
+            yield *got[:2], ""
+            i = got[2]
+            continue
+        if lost is None:
+            lost, reason = i, why
+        following = _VERSION.search(plain, i + 1)
+        i = following.start() if following else len(plain)
+    if lost is not None:
+        yield gap(len(plain))
 
 
 def salvage(data):
     """All valid records of an archive, and the byte ranges between them that hold none.
 
     Yields ``(offset, length, fields, block, why)``; for a gap fields and block
-    are None. A member is valid when it unpacks with a right checksum
-    and holds whole records only; a record when its version line, header,
-    length, end mark and block digest (if stated) are right. After a failed
-    check the search goes on at the next member or version line that is valid.
+    are None. A record is valid when its version line, header, length, end mark and
+    block digest (if stated) are right. A member is unpacked as far as it goes
+    and searched for records like plain bytes. Its records carry its byte range; a gap
+    among them has length 0 and says in ``why`` which unpacked bytes it takes. A record
+    without a block digest in a member that fails its own checks has that
+    failure as ``why``. A member of one record that is cut is a gap. Where nothing valid is found, and after a member that
+    fails, the search goes on at the next member or version line.
     """
     at, lost, reason = 0, None, ""
+    # Records of a damaged member, which may lie open in its bytes up to ``read``.
+    known, read = set(), 0
+    key = lambda fields, block: (tuple(fields.items()), sha1(block).digest())
     while at < len(data):
+        end, wrong = None, ""
         if data.startswith(MEMBER, at):
-            got, why = _unpack(data, at)
-            records, end = got or (None, None)
+            plain, end, wrong = _inflate(data, at)
+            rows = list(_inside(plain))
+            if wrong == "short member" and len(rows) == 1:
+                rows = []  # a member of one record, cut in its trailer
+            why = wrong or next((w for _, _, w in rows if w), "").partition(",")[0]
+            whole = not wrong and (not rows or any(f for f, _, _ in rows))
         else:
             got, why = _parse(data, at)
-            records, end = ([got[:2]], got[2]) if got else (None, None)
-        if got:
+            rows, end = ([(*got[:2], "")], got[2]) if got else ([], None)
+            whole = bool(got)
+        if at < read:
+            fresh = [r for r in rows if not r[0] or key(*r[:2]) not in known]
+            if len(fresh) < len(rows) and not any(f for f, _, _ in fresh):
+                whole, why = False, why or "record of the member before"
+            rows = fresh
+        if whole or any(f for f, _, _ in rows):
+            stop = end
+            if wrong:
+                following = _START.search(data, at + 1)
+                stop = following.start() if following else len(data)
+                known, read = {key(f, b) for f, b, _ in rows if f} | (known if at < read else set()), max(read, end)
             if lost is not None:
                 yield lost, at - lost, None, None, reason
                 lost = None
-            for fields, block in records:
-                yield at, end - at, fields, block, ""
-            at = end
+            place = at
+            for fields, block, fault in rows:
+                if not fields:
+                    yield place, 0, None, None, fault
+                    continue
+                stated = fields.get("warc-block-digest", "").startswith("sha1:")
+                yield at, stop - at, fields, block, "" if stated else wrong
+                place = stop
+            at = stop
             continue
         if lost is None:
             lost, reason = at, why
@@ -209,7 +263,7 @@ def _read(with_payload, batches):
                 head, _, payload = block.partition(b"\r\n\r\n")
                 size = re.search(rb"(?i)^content-length:\s*(\d+)", head, re.M)
                 kind = fields["warc-type"]
-                digest, status = _hex(fields.get("warc-payload-digest")), "valid"
+                digest, status = _hex(fields.get("warc-payload-digest")), why or "valid"
                 if kind == "response" and digest and digest != sha1(payload).hexdigest():
                     status = "payload digest"
                 rows.append((
@@ -230,7 +284,7 @@ def read_archives(spark, path, with_payload=True):
     Columns: ``file, offset, length, status, record_type, page_id, url,
     payload_bytes, payload_digest, refers_to, payload``. ``status`` is ``valid`` for
     a record, else the failed check of a byte range that holds no valid record
-    (its other fields are NULL) or ``payload digest`` for a record whose payload is not
+    (its other fields are NULL; length 0 inside a member), of the member around a record without a block digest or ``payload digest`` for a record whose payload is not
     what it says. Files may mix gzip members and plain records. A task holds
     one archive at a time; archives above 2 GB are refused by Spark's reader.
     """

@@ -98,3 +98,34 @@ def test_damaged_file_through_spark(spark, tmp_path):
     got = {(r.page_id, r.status, r.offset, r.length) for r in warc.read_archives(spark, str(tmp_path)).collect()}
     assert (None, "damaged member", len(parts[0]), 20) in got or (None, "short member", len(parts[0]), 20) in got
     assert {g[0] for g in got} == {0, 2, None}
+
+
+def ids_of(data):
+    return [warc._number(f["warc-record-id"]) for _, _, f, _, _ in warc.salvage(data) if f]
+
+
+def test_members_of_many_records_give_all_good_ones():
+    rng = random.Random(3)
+    parts = [record(i, bytes(rng.choices(range(256), k=4_000))) for i in range(40)]
+    bad = bytearray(b"".join(parts))
+    bad[len(b"".join(parts[:7])) + len(parts[7]) // 2] ^= 1  # in record 7, before it is packed
+    found = list(warc.salvage(gzip.compress(bytes(bad), 1) + gzip.compress(parts[0], 1)))
+    assert [warc._number(f["warc-record-id"]) for _, _, f, _, _ in found if f] == [i for i in range(40) if i != 7] + [0]
+    start = len(b"".join(parts[:7]))
+    assert [why for _, _, f, _, why in found if not f] == [f"block digest, unpacked bytes {start} to {start + len(parts[7])}"]
+    whole = gzip.compress(b"".join(parts), 1)
+    for level in (0, 1):
+        packed = gzip.compress(b"".join(parts), level)
+        got = ids_of(packed[:len(packed) // 2] + gzip.compress(record(77, b"next")))
+        assert got[:-1] == list(range(len(got) - 1)) and len(got) in (20, 21) and got[-1] == 77
+        assert len(ids_of(packed[:len(packed) // 2])) in (19, 20)
+    for at in (-8, -1):  # checksum and length of the member
+        broken = bytearray(whole)
+        broken[at] ^= 1
+        assert ids_of(bytes(broken)) == list(range(40))
+
+
+def test_long_urls_are_read(spark):
+    rows = [(1, "http://a/" + "x" * 100_000, "one"), (2, "http://a/" + "\x01 " * 50_000, "two"), (3, "http://a/", "three")]
+    got, _ = round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert rows_of(got) == expected(rows)
