@@ -9,6 +9,7 @@ from answerloom.llm.pseudonyms import pseudonymise
 from answerloom.llm.secret_scan import describe, secret_spans
 from answerloom.llm.string_kernel import fit, labelled_sample, toxicity_scores
 from answerloom.llm.superminhash import near_duplicates
+from answerloom.llm.turn_repair import damage, repair_conversations
 from answerloom.llm.url_lists import blocked_captures, url_keys
 from answerloom.llm.warc import read_archives, write_archives
 from answerloom.llm.weighted_sampling import compare_with_next
@@ -170,3 +171,92 @@ def op10_secret_scan(spark, sf_dir):
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(describe(F.filter(spans, lambda s: s.kind_no < 3)), 256).alias("base_sha256"),
         describe(spans).alias("spans"))
+
+#: CRC-32 bit by bit over the bytes of an ASCII text.
+_CRC32_SQL = """
+  xor(4294967295, list_reduce(list_transform(string_split({0}, ''), lambda ch: CAST(ord(ch) AS BIGINT)),
+    lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda v, unused: xor(v >> 1, (v & 1) * 3988292384)), CAST(4294967295 AS BIGINT)))"""
+
+
+def _turn_repair_sql():
+    """The same repair as one forward fold per conversation; a state is its cheapest, then ASCII-least, way there."""
+    best = lambda *ways: f"list_min([{', '.join(ways)}])"
+    way = lambda q, cost, edit, line="''": (
+        f"{{'c': {q}.c + {cost}, 'a': {q}.a || '{edit}', 't': {q}.t || {line}}}")
+    state = lambda s, n: f"{s}[{n + 1}]"
+    insert = lambda q, role: way(q, 5, "I", f"chr(10) || '{role}:'")
+    user_first = best(state("s", 2), insert(state("s", 0), "user"), insert(state("s", 1), "user"))
+    closed = (f"[{state('s', 0)}, {state('s', 1)}, {best(user_first, insert(state('s', 3), 'user'))}, "
+              f"{best(state('s', 3), insert(user_first, 'assistant'))}]")
+    line = "chr(10) || z.r.role || ':' || z.r.text"
+    delete = lambda n: way(state("z.s", n), 2, "D")
+
+    def stay(n, initial, role):
+        keep = way(state("z.s", n), "z.r.extra", "K", line)
+        if role is None:
+            return f"CASE WHEN z.r.first = '{initial}' AND NOT z.r.gone THEN {keep} ELSE {delete(n)} END"
+        other = way(state("z.s", n), "z.r.extra + 1", "R", f"chr(10) || '{role}:' || z.r.text")
+        return f"CASE WHEN z.r.gone THEN NULL WHEN z.r.first = '{initial}' THEN {keep} ELSE {other} END"
+
+    kept_system = f"CASE WHEN z.r.first = 's' AND NOT z.r.gone THEN {way(state('z.s', 0), 'z.r.extra', 'K', line)} END"
+    step = (f"[{delete(0)}, {best(delete(1), kept_system)}, "
+            f"{best(delete(2), *(stay(n, 'u', 'user') for n in (0, 1, 3)))}, {best(delete(3), stay(2, 'a', 'assistant'))}]")
+    far = "{'c': CAST(1000000000 AS BIGINT), 'a': '', 't': ''}"
+    white = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+WITH drawn AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         crc32_of.draw % 20 AS draw
+  FROM conversations, LATERAL (SELECT {_CRC32_SQL.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} AS draw) crc32_of),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN draw = 1 THEN '' WHEN draw = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE WHEN draw = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM drawn WHERE draw <> 0),
+placed AS (
+  SELECT *, right(rtrim(text, {white}), 1) AS ending, substr(role, 1, 1) AS first,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos FROM damaged),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS nth,
+         lag(first) OVER (PARTITION BY conv_id ORDER BY pos) AS prior FROM placed),
+judged AS (
+  SELECT *, ending = '' AS blank, ending <> '' AND nth > 1 AS duplicate,
+         ending NOT IN ('', '.', '!', '?') AND nth = 1 AS truncated FROM seen),
+folded AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+         count(*) FILTER (truncated) AS truncated,
+         count(*) FILTER (pos > 1 AND prior || first NOT IN ('su', 'ua', 'au')) AS illegal,
+         list({{'first': first, 'role': role, 'text': text, 'gone': blank OR duplicate,
+               'extra': CASE WHEN truncated THEN 5 ELSE 0 END}} ORDER BY pos) AS rs
+  FROM judged GROUP BY conv_id),
+walked AS (
+  SELECT *, list_reduce(list_transform(rs, lambda r: {{'r': r, 's': NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR)[]}}),
+    lambda x, y: {{'r': y.r, 's': list_transform([{{'r': y.r, 's': list_transform([x.s], lambda s: {closed})[1]}}],
+      lambda z: {step})[1]}},
+    {{'r': NULL::STRUCT("first" VARCHAR, "role" VARCHAR, "text" VARCHAR, gone BOOLEAN, extra INTEGER),
+      's': [{{'c': CAST(0 AS BIGINT), 'a': '', 't': ''}}, {far}, {far}, {far}]}}).s AS s
+  FROM folded),
+ended AS (SELECT *, list_transform([s], lambda s: list_min([(s)[1], ({closed})[4]]))[1] AS w FROM walked)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(w.c, 0) AS cost,
+       coalesce(w.a, '') AS audit, sha256(coalesce(substr(w.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN ended ON ids.conv_id IS NOT DISTINCT FROM ended.conv_id"""
+
+
+@query(_turn_repair_sql())
+def op11_turn_repair(spark, sf_dir):
+    """Damaged conversations, their faults, the cheapest repair and its digest."""
+    rows = _table(spark, sf_dir, "conversations")
+    report, _, digests = repair_conversations(damage(rows))
+    ids = rows.select(F.col("conv_id").cast("long").alias("id")).distinct()
+    digests = digests.withColumnRenamed("conv_id", "d")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return (
+        ids.join(report, ids.id.eqNullSafe(report.conv_id), "left").drop("conv_id")
+        .join(digests, F.col("id").eqNullSafe(digests.d), "left")
+        .select(
+            F.col("id").alias("conv_id"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+            F.coalesce("audit", F.lit("")).alias("audit"),
+            F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+    )
