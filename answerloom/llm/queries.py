@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from answerloom.llm.bpe_counts import token_counts
+from answerloom.llm.collocations import collocations
 from answerloom.llm.decontamination import leaks
 from answerloom.llm.packing import pack_documents
 from answerloom.llm.pseudonyms import pseudonymise
@@ -260,3 +261,39 @@ def op11_turn_repair(spark, sf_dir):
             F.coalesce("audit", F.lit("")).alias("audit"),
             F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
     )
+
+
+COLLOCATIONS_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+listed AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') AS ws FROM pieces),
+starts AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM listed),
+grams AS (
+  SELECT lang, k AS words, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+  FROM starts, (VALUES (1), (2), (3)) AS sizes(k) WHERE i + k - 1 <= len(ws)),
+f AS (SELECT lang, words, phrase, count(*) AS f FROM grams GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE words = 1 GROUP BY lang),
+candidates AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE words > 1 AND f >= 10),
+cuts AS (SELECT *, unnest(range(1, words)) AS k FROM candidates),
+scored AS (
+  SELECT c.lang, c.words, c.phrase, c.a, c.k, l.f AS l, r.f AS r,
+         CAST(1000000 AS HUGEINT) * c.a * c.a // (CAST(l.f AS HUGEINT) * r.f) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[:c.k], ' ')
+       JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[c.k + 1:], ' ')),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+around AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase
+    FROM candidates WHERE words = 3) GROUP BY ALL),
+ranked AS (
+  SELECT w.*, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase) AS rank
+  FROM weakest w LEFT JOIN around o ON o.lang = w.lang AND o.phrase = w.phrase
+  WHERE w.words = 3 OR o.longer IS NULL OR 100 * o.longer < 50 * w.a)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
+
+@query(COLLOCATIONS_SQL)
+def op13_collocations(spark, sf_dir):
+    return collocations(_table(spark, sf_dir, "documents"))
