@@ -10,6 +10,7 @@ from answerloom.llm.pseudonyms import pseudonymise
 from answerloom.llm.secret_scan import describe, secret_spans
 from answerloom.llm.string_kernel import fit, labelled_sample, toxicity_scores
 from answerloom.llm.superminhash import near_duplicates
+from answerloom.llm.token_files import read_token_files, write_token_files
 from answerloom.llm.turn_repair import damage, repair_conversations
 from answerloom.llm.url_lists import blocked_captures, url_keys
 from answerloom.llm.warc import read_archives, write_archives
@@ -263,6 +264,13 @@ def op11_turn_repair(spark, sf_dir):
     )
 
 
+@query()
+def op12_token_files(spark, sf_dir):
+    path = work_dir(spark, "token-files")
+    write_token_files(_table(spark, sf_dir, "documents"), path, _tokenizer("word_bpe_49k.json"), end_id=1)
+    return read_token_files(spark, path)
+
+
 COLLOCATIONS_SQL = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
