@@ -11,6 +11,7 @@ symbol; u32 left and right and expansion length of each rule; the symbols; every
 symbol's first id as u32. A zero byte ends the record.
 """
 
+import re
 import struct
 import zlib
 from array import array
@@ -20,6 +21,7 @@ import numpy as np
 from pyspark.sql import Window, functions as F
 
 from answerloom.llm.textscan import SPACE, gather, kept, pieces, text_bytes
+from answerloom.operators.tokenizer import BYTE_CHARS
 from answerloom.session import cut_lineage, ship_package
 
 MAGIC = b"RPID"
@@ -37,10 +39,10 @@ def _chosen(pairs, shift, counts, room):
     """Frequent pairs, most frequent first, none of which can overlap another: (left, right) symbols.
 
     No symbol is the left part of one and the right part of another, and a
-    doubled symbol is in no other pair. Only pairs at least a quarter as frequent as the first are
-    taken, so a round is close to replacing one pair after the other.
+    doubled symbol is in no other pair. Only pairs at least a sixteenth as frequent as the first
+    are taken, so the most frequent ones are still replaced before they can be broken up.
     """
-    top = np.flatnonzero(counts >= max(LEAST, counts.max() // 4))
+    top = np.flatnonzero(counts >= max(LEAST, counts.max() // 16))
     top = top[np.argsort(-counts[top], kind="stable")]
     lefts, rights, out = set(), set(), []
     for left, right in zip((pairs[top] >> shift).tolist(), (pairs[top] & (1 << shift) - 1).tolist()):
@@ -134,6 +136,16 @@ def expand(symbols, first, left, right):
     return out
 
 
+def expand_by_lengths(symbols, first, left, right, lengths):
+    """As ``expand``, with the ids of every rule laid out once, if those are no longer than the text's."""
+    spans = np.concatenate((np.ones(first, np.int64), lengths))[symbols]
+    if lengths.sum() > spans.sum():
+        return expand(symbols, first, left, right)
+    rules = expand(first + np.arange(len(left)), first, left, right)
+    begins = np.concatenate((np.arange(first), first + np.cumsum(lengths) - lengths))
+    return np.concatenate((np.arange(first), rules))[gather(begins[symbols], spans)]
+
+
 # ---- records -------------------------------------------------------------------------------
 
 def block_bytes(ids, ends):
@@ -203,7 +215,7 @@ def _part(first, left, right, lengths, text, sampled, low, high):
     begin = max(int(np.searchsorted(sampled, low, "right")) - 1, 0)
     stop = int(np.searchsorted(sampled, high, "left"))
     some = text[begin * SAMPLED:stop * SAMPLED].astype(np.int64)
-    ids = expand(some, first, left, right).astype(np.uint32)
+    ids = expand_by_lengths(some, first, left, right, lengths).astype(np.uint32)
     skip = low - int(sampled[begin])
     return ids[skip:skip + high - low]
 
@@ -224,6 +236,7 @@ _SIGN = np.zeros(256, bool)  # ASCII signs but the apostrophe, which begins cont
 _SIGN[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'"]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
+_SMALL = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")  # a to z, U+00DF to U+00FF less the division sign
 
 
 class _ChunkIds:
@@ -248,9 +261,10 @@ class _ChunkIds:
         texts = []
         for i in [i for i, ids in enumerate(out) if ids is None]:
             chunk = chunks[i]
-            if chunk.isalpha() and chunk.islower():
-                # ASCII letters alone: one word, which no normaliser changes.
-                out[i] = array("I", [t.id for t in self.merge(chunk.decode())]).tobytes()
+            if _SMALL.fullmatch(chunk):
+                # Small letters alone: one word, which no normaliser changes.
+                symbols = chunk.decode("latin-1").translate(BYTE_CHARS)
+                out[i] = array("I", [t.id for t in self.merge(symbols)]).tobytes()
             else:
                 texts.append(i)
         if texts:
@@ -264,6 +278,13 @@ class _ChunkIds:
         return out
 
 
+def _bytes_of(column):
+    """Values of a large binary column without NULLs."""
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1].tolist()
+    raw = column.buffers()[2].to_pybytes() if len(column) else b""
+    return [raw[a:b] for a, b in zip(offsets, offsets[1:])]
+
+
 def _row_ids(known, data, offsets):
     """Ids of rows of text, and how many each row has.
 
@@ -291,7 +312,7 @@ def _row_ids(known, data, offsets):
     bounds = np.concatenate(([0], np.cumsum(ends - starts)))
     coded = pa.Array.from_buffers(
         pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data[inside])]).dictionary_encode()
-    found = known.find(coded.dictionary.to_pylist())
+    found = known.find(_bytes_of(coded.dictionary))
     sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
     flat = np.frombuffer(b"".join(found), np.uint32)
     used = coded.indices.to_numpy(zero_copy_only=False)
