@@ -5,11 +5,13 @@ from functools import partial
 import numpy as np
 from pyspark.sql import Window, functions as F
 
-from answerloom.llm.textscan import gather, pieces, text_bytes
+from answerloom.llm.textscan import R, gather, mix, pieces, span_hashes, text_bytes
 from answerloom.session import cut_lineage, ship_package
 
 LONGEST = 3
 END = -1  # the key behind a piece's last word
+FAN = 256  # buckets a routing step deals to
+BUCKET_ROWS = 1_000_000  # larger buckets are routed again
 
 _BREAK = np.zeros(256, bool)  # ends a piece
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -116,19 +118,96 @@ def _text_blocks(batch, size):
 
 
 def _phrases(dictionary, columns):
-    """Blank-joined words of code columns; END codes are left out."""
+    """Blank-joined words of code columns, as bytes; END codes are left out."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
     words = [dictionary.take(pa.array(c, mask=c == END)) for c in columns]
-    joined = pc.binary_join_element_wise(*words, pa.scalar(b" ", dictionary.type), null_handling="skip")
-    return joined.cast(pa.binary()).view(pa.string())
+    return pc.binary_join_element_wise(*words, pa.scalar(b" ", dictionary.type), null_handling="skip")
 
 
-def _suffixes(size, batches):
-    """Distinct suffixes (up to three words) of each block of text with their counts."""
+def _word_hashes(dictionary):
+    """A hash of every word and, last, one for END."""
+    bounds = np.frombuffer(dictionary.buffers()[1], np.int64)[dictionary.offset:dictionary.offset + len(dictionary) + 1]
+    out = np.full(len(dictionary) + 1, 0x9E37, np.uint64)
+    if len(dictionary):
+        out[:-1] = span_hashes(np.frombuffer(dictionary.buffers()[2], np.uint8), bounds[:-1], bounds[1:])
+    return out
+
+
+def _buckets(words, hashes, level, spread):
+    """Where suffixes go at a routing level: by their first two words or, spread, by all."""
+    out = np.full(len(words), level + 1, np.uint64)
+    for k in range(LONGEST if spread else 2):
+        out = mix(out * R ^ hashes[words[:, k]])
+    return (out % np.uint64(FAN)).astype(np.int64)
+
+
+# ---- payloads: many suffixes with their counts in one compressed cell -------------------------
+
+def _pack(texts, counts, cuts):
+    """A payload for each range of ``cuts`` of a binary array: sizes, counts and texts."""
     import pyarrow as pa
 
+    codec = pa.Codec("zstd", compression_level=1)
+    texts = texts.cast(pa.large_binary())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = memoryview(texts.buffers()[2]) if len(texts) else b""
+    sizes, counts = np.diff(bounds).astype("<u4"), counts.astype("<u8")
+    for a, b in zip(cuts, cuts[1:]):
+        raw = b"".join((sizes[a:b].tobytes(), counts[a:b].tobytes(), data[bounds[a]:bounds[b]]))
+        yield np.array([b - a, len(raw)], "<u8").tobytes() + codec.compress(raw, asbytes=True)
+
+
+def _unpack(payload):
+    import pyarrow as pa
+
+    n, size = np.frombuffer(payload, "<u8", 2).tolist()
+    raw = pa.Codec("zstd").decompress(memoryview(payload)[16:], size, asbytes=True)
+    bounds = np.concatenate(([0], np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.int64)))
+    texts = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(raw[12 * n:])])
+    return texts, np.frombuffer(raw, "<u8", n, 4 * n).astype(np.int64)
+
+
+def _keys_of(payloads):
+    """Word codes (a row per suffix), the dictionary and the counts of some payloads."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    parts = [_unpack(p) for p in payloads]
+    split = pc.split_pattern(pa.concat_arrays([t for t, _ in parts]), b" ")
+    coded = split.flatten().cast(pa.large_binary()).dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+    keys = np.full((len(split), LONGEST), END)
+    for k in range(LONGEST):
+        has = bounds[:-1] + k < bounds[1:]
+        keys[has, k] = codes[(bounds[:-1] + k)[has]]
+    return keys, coded.dictionary, np.concatenate([c for _, c in parts])
+
+
+def _routed(langs, lang, keys, dictionary, counts, level, spread, above=0):
+    """Rows ``(lang, bucket, spread, n_rows, n, payload)`` of distinct suffixes, a row per language and bucket."""
+    import pyarrow as pa
+
+    group = lang * FAN + _buckets(keys, _word_hashes(dictionary), level, spread)
+    low = (1 << 21) - 1  # equal heads stand together, which compresses well
+    order = np.argsort(group << 42 | (keys[:, 0] & low) << 21 | (keys[:, 1] + 1 & low))
+    group, keys, counts = group[order], keys[order], counts[order]
+    cuts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True]))) if len(group) else np.zeros(1, int)
+    texts = _phrases(dictionary, keys.T)
+    first = group[cuts[:-1]]
+    return pa.RecordBatch.from_arrays([
+        langs.take(pa.array(first // FAN)), pa.array(above * FAN + first % FAN), pa.array(np.full(len(first), spread)),
+        pa.array(np.diff(cuts)), pa.array(np.add.reduceat(counts, cuts[:-1]) if len(first) else counts),
+        pa.array(_pack(texts, counts, cuts.tolist()), pa.binary())], ["lang", "bucket", "spread", "n_rows", "n", "payload"])
+
+
+_ROUTED = "lang string, bucket long, spread boolean, n_rows long, n long, payload binary"
+
+
+def _suffixes(size, batches):
+    """Distinct suffixes (up to three words) of each block of text with their counts, dealt to buckets."""
     for batch in batches:
         langs = batch.column(0).dictionary_encode()
         lang_of = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -144,106 +223,123 @@ def _suffixes(size, batches):
                 keys[:n, 1 + k][linked] = keys[k:n + k, 1][linked]
             keys = keys[:max(n - 2, 0) if unfinished else n]
             pointer, _, count = equal_partitions(keys, np.ones(len(keys)), [0] * (2 + LONGEST), leaves=True)
-            for low in range(0, len(pointer), 100_000):
-                some = pointer[low:low + 100_000]
-                yield pa.RecordBatch.from_arrays([
-                    langs.dictionary.take(pa.array(keys[some, 0])),
-                    _phrases(dictionary, [keys[some, k] for k in range(1, 1 + LONGEST)]),
-                    pa.array(count[low:low + 100_000])], ["lang", "suffix", "n"])
+            found = keys[pointer]
+            yield _routed(langs.dictionary, found[:, 0], found[:, 1:], dictionary, count, 0, False)
+
+
+def _runs(batches, most):
+    """Lists of payloads that follow each other in one bucket: ``(lang, bucket, spread, payloads, last)``.
+
+    A list has about ``most`` suffixes at the most; ``last`` closes its bucket.
+    """
+    held, key, n = [], None, 0
+    for batch in batches:
+        columns = [batch.column(i) for i in range(batch.num_columns)]
+        for lang, bucket, spread, n_rows, payload in zip(*(c.to_pylist() for c in columns)):
+            if held and (lang, bucket, spread) != key:
+                yield *key, held, True
+                held, n = [], 0
+            elif held and n + n_rows > most:
+                yield *key, held, False
+                held, n = [], 0
+            key = (lang, bucket, spread)
+            held.append(payload)
+            n += n_rows
+    if held:
+        yield *key, held, True
 
 
-def _count_bucket(table, least):
-    """Phrase counts of one bucket of suffixes; infrequent partitions whose rows are all here are abandoned."""
+def _reroute(level, spread, most, batches):
+    """The suffixes of large buckets, equal ones joined, one routing level further."""
     import pyarrow as pa
-    import pyarrow.compute as pc
 
-    table = table.combine_chunks()
-    langs = table.column("lang").combine_chunks().dictionary_encode()
-    split = pc.split_pattern(table.column("suffix").combine_chunks(), " ")
-    coded = split.flatten().cast(pa.binary()).dictionary_encode()
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
-    keys = np.full((table.num_rows, 1 + LONGEST), END)
-    keys[:, 0] = langs.indices.to_numpy(zero_copy_only=False)
-    for k in range(LONGEST):
-        has = offsets[:-1] + k < offsets[1:]
-        keys[has, 1 + k] = codes[(offsets[:-1] + k)[has]]
-    weights = table.column("n").to_numpy().astype(np.float64)
-    spread = table.column("spread").to_numpy()
-    for apart in (False, True):
-        rows = np.flatnonzero(spread == apart)
-        # A first word's suffixes are in many buckets; its first two words' only if they are spread.
-        floors = [0, 0, 0, 0 if apart else least, least]
-        pointer, depth, weight = equal_partitions(keys[rows], weights[rows], floors)
-        deep = depth > 1
-        pointer, words, weight = rows[pointer[deep]], depth[deep] - 1, weight[deep]
-        columns = [np.where(words > k, keys[pointer, 1 + k], END) for k in range(LONGEST)]
-        yield pa.RecordBatch.from_arrays(
-            [langs.dictionary.take(pa.array(keys[pointer, 0])), _phrases(coded.dictionary, columns),
-             pa.array(words), pa.array(weight)], ["lang", "phrase", "words", "f"])
+    for lang, bucket, _, payloads, _ in _runs(batches, most):
+        keys, dictionary, counts = _keys_of(payloads)
+        pointer, _, total = equal_partitions(keys, counts, [0] * (1 + LONGEST), leaves=True)
+        yield _routed(pa.array([lang]), np.zeros(len(pointer), np.int64), keys[pointer], dictionary, total,
+                      level, spread, above=bucket)
 
 
-def _count(least, batches):
-    """Sorted rows ``(bucket, spread, lang, suffix, n)``: the counts of one bucket after the other."""
+def _count(least, most, batches):
+    """Phrase counts, bucket after bucket; infrequent partitions whose rows are all here are abandoned."""
     import pyarrow as pa
 
-    held, bucket = [], None
-    for batch in batches:
-        ids = batch.column(0).to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
-        for low, high in zip(cuts, cuts[1:]):
-            if low == high:
-                continue
-            if held and ids[low] != bucket:
-                yield from _count_bucket(pa.Table.from_batches(held), least)
-                held = []
-            bucket = ids[low]
-            held.append(batch.slice(low, high - low))
-    if held:
-        yield from _count_bucket(pa.Table.from_batches(held), least)
+    joined = []
+    for lang, _, spread, payloads, last in _runs(batches, most):
+        keys, dictionary, counts = _keys_of(joined + payloads)
+        if not last:
+            # A bucket that is too large for one look: equal suffixes are joined before more are read.
+            pointer, _, total = equal_partitions(keys, counts, [0] * (1 + LONGEST), leaves=True)
+            joined = list(_pack(_phrases(dictionary, keys[pointer].T), total, [0, len(pointer)]))
+            continue
+        joined = []
+        # A first word's suffixes are in many buckets; its first two words' only if they are spread.
+        pointer, words, weight = equal_partitions(keys, counts, [0, 0, 0 if spread else least, least])
+        columns = [np.where(words > k, keys[pointer, k], END) for k in range(LONGEST)]
+        phrases = _phrases(dictionary, columns).cast(pa.binary()).view(pa.string())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(words), pa.string()), phrases, pa.array(words), pa.array(weight)],
+            ["lang", "phrase", "words", "f"])
 
 
 def suffix_counts(docs, lang_col="lang", text_col="text", block=4_000_000):
-    """``(lang, suffix, n)``, written: how often each run of up to three words begins in a block of text.
+    """Suffixes of all texts, written: ``lang, bucket, spread, n_rows, n, payload``.
 
     Texts are lower-cased (A-Z), split into pieces at ``.,;:!?`` and line ends and
-    into words at blanks and tabs; a suffix ends with its piece. Equal suffixes of a block of
-    about ``block`` bytes are counted before anything is shuffled.
+    into words at blanks and tabs; a suffix is a run of up to three words and ends with its piece. Equal suffixes
+    of a block of about ``block`` bytes are counted before anything is shuffled, and those of one
+    language and bucket (by a hash of their first two words) travel in one compressed cell.
     """
     ship_package(docs.sparkSession)
     rows = docs.select(
         F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return cut_lineage(
-        rows.mapInArrow(partial(_suffixes, block), "lang string, suffix string, n long"), "suffixes")
+    return cut_lineage(rows.mapInArrow(partial(_suffixes, block), _ROUTED), "suffixes")
 
 
-def frequent_phrases(suffixes, least=10, per_bucket=300_000):
+def _ordered(table):
+    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = table.repartition(parts, "lang", "bucket", "spread").sortWithinPartitions("lang", "bucket", "spread")
+    return rows.select("lang", "bucket", "spread", "n_rows", "payload")
+
+
+def routed_again(suffixes, most=BUCKET_ROWS, levels=6):
+    """Buckets of more than ``most`` suffixes dealt to smaller ones, until there are none or ``levels`` are used up.
+
+    The first two steps look at the first two words alone, later ones at the whole suffix, which
+    splits a head that is frequent itself. Every step joins equal suffixes first, so a suffix that is found in
+    many blocks does not keep its bucket large.
+    """
+    tables, here = [], suffixes
+    for level in range(1, levels):
+        sizes = here.groupBy("lang", "bucket", "spread").agg(F.sum("n_rows").alias("rows"), F.count("*").alias("cells"))
+        large = cut_lineage(sizes.where((F.col("rows") > most) & (F.col("cells") > 1)).drop("rows", "cells"), "large")
+        n = large.count()  # at most one in ``most`` suffixes
+        if not n:
+            break
+        large = F.broadcast(large) if n <= 100_000 else large
+        keys = ["lang", "bucket", "spread"]
+        tables.append(here.join(large, keys, "left_anti"))
+        # Cells are dealt at random, not by bucket: a large one is many tasks' work.
+        dealt = here.join(large, keys, "left_semi").select("lang", "bucket", "spread", "n_rows", "payload")
+        here = cut_lineage(
+            dealt.sortWithinPartitions("lang", "bucket").mapInArrow(partial(_reroute, level, level > 2, most), _ROUTED),
+            "suffixes")
+    tables.append(here)
+    whole = tables[0]
+    for table in tables[1:]:
+        whole = whole.unionByName(table)
+    return whole
+
+
+def frequent_phrases(suffixes, least=10, most=BUCKET_ROWS):
     """``(lang, phrase, words, f)``, written: phrases of one to three words that occur ``least`` times.
 
-    Suffixes are routed by language and their first two words to buckets of about
-    ``per_bucket`` rows, which are quicksorted one at a time. First words with more rows than that are spread
-    over several buckets by their third word, and what their parts count is added up.
+    Every bucket is quicksorted on its own. What single buckets count of a first word, and
+    of two first words that are spread, is added up.
     """
-    spark = suffixes.sparkSession
-    head = F.substring_index("suffix", " ", 2)
-    rows = suffixes.withColumn("head", head)
-    # At most one in per_bucket rows can be the reason for a heavy head.
-    heavy = rows.groupBy("lang", "head").agg(F.count("*").alias("rows")).where(F.col("rows") > per_bucket)
-    heavy = cut_lineage(heavy, "heavy-heads")
-    total = suffixes.count()
-    if heavy.count() <= 100_000:
-        heavy = F.broadcast(heavy)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(total // per_bucket, 4 * parts)
-    deal = F.when(F.col("rows").isNotNull(), F.pmod(F.xxhash64("suffix"), F.col("rows") / per_bucket + 1).cast("long"))
-    dealt = (
-        rows.join(heavy, ["lang", "head"], "left")
-        .select(F.pmod(F.xxhash64("lang", "head", deal), F.lit(buckets)).alias("bucket"),
-                F.col("rows").isNotNull().alias("spread"), "lang", "suffix", "n")
-        .repartition(parts, "bucket").sortWithinPartitions("bucket")
-    )
-    counted = dealt.mapInArrow(partial(_count, least), "lang string, phrase string, words long, f long")
+    dealt = _ordered(routed_again(suffixes, most))
+    counted = dealt.mapInArrow(partial(_count, least, 2 * most), "lang string, phrase string, words long, f long")
     summed = counted.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     return cut_lineage(summed, "phrases")
 

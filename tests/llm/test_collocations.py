@@ -89,7 +89,7 @@ def test_heavy_heads_are_spread(spark):
     rows = [(i, t, "en") for i, t in enumerate(texts(4, 150))] + [(i, f"new york place{i % 40}", "en") for i in range(600)]
     suffixes = c.suffix_counts(spark.createDataFrame(rows, SCHEMA).repartition(16))
     usual = sorted(map(tuple, c.frequent_phrases(suffixes).collect()))
-    assert usual == sorted(map(tuple, c.frequent_phrases(suffixes, per_bucket=20).collect()))
+    assert usual == sorted(map(tuple, c.frequent_phrases(suffixes, most=20).collect()))
 
 
 def test_empty_and_clashing_columns(spark):
