@@ -27,44 +27,45 @@ def equal_partitions(keys, weights, floors, leaves=False):
     A partition is split by its middle pointer's key at its depth into less,
     equal and greater; the equal part goes one key deeper, up to the last key or
     an END. Returns ``(pointer, depth, weight)`` arrays: for every equal part
-    one of its pointers, how many keys its rows share, and their total weight. Parts
+    one of its pointers, how many keys its rows share, and their total weight (None: a row is 1). Parts
     whose weight is below ``floors[depth]`` are abandoned. With ``leaves`` only parts that
     share all their keys are returned.
     """
     n, deepest = keys.shape
-    floors = np.asarray(floors)
-    order, found = np.arange(n), []
-    begin, size, depth = (np.array(x, np.int64) for x in ([0] * bool(n), [n] * bool(n), [0] * bool(n)))
-    while len(begin):
-        at = gather(begin, size)
-        part = np.repeat(np.arange(len(begin)), size)
-        pointer = order[at]
-        pivot = keys[order[begin + size // 2], depth]
-        side = np.sign(keys[pointer, depth[part]] - pivot[part]) + 1
-        kind = 3 * part + side
-        count = np.bincount(kind, minlength=3 * len(begin)).reshape(-1, 3)
-        weight = np.bincount(kind, weights[pointer], 3 * len(begin)).astype(np.int64).reshape(-1, 3)
-        first = begin[:, None] + np.cumsum(count, axis=1) - count
-        place = np.empty(len(pointer), np.int64)
-        for s in range(3):
-            own = side == s
-            running = np.cumsum(own)
-            ahead = np.concatenate(([0], running))[np.cumsum(size) - size]
-            place[own] = (first[part, s] + running - 1 - ahead[part])[own]
-        order[place] = pointer
-
-        whole = (pivot == END) | (depth + 1 == deepest)
-        equal, total = count[:, 1], weight[:, 1]
-        done = whole | (equal == 1) if leaves else whole
-        report = (done if leaves else pivot != END) & (total >= floors[depth + 1])
-        found.append((order[first[:, 1]][report], depth[report] + 1, total[report]))
-        deeper = ~done & (total >= floors[np.minimum(depth + 2, deepest)])
-        sides = [
-            (first[:, s], count[:, s], depth, (count[:, s] > 0) & (weight[:, s] >= floors[depth + 1])) for s in (0, 2)
-        ] + [(first[:, 1], equal, depth + 1, deeper)]
-        begin, size, depth = (np.concatenate([x[i][x[3]] for x in sides]) for i in range(3))
-    if not found:
-        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    floors, columns = np.asarray(floors), [np.ascontiguousarray(k) for k in keys.T.astype(np.int32)]
+    # Open partitions of each depth; they stand one after the other, with their sizes.
+    waiting = [[] for _ in range(deepest + 1)]
+    if n:
+        waiting[0].append((np.arange(n, dtype=np.int32), np.array([n])))
+    found = [(np.zeros(0, np.int64),) * 3]
+    for depth in range(deepest):
+        while waiting[depth]:
+            pointer, size = (np.concatenate(x) for x in zip(*waiting[depth]))
+            waiting[depth] = []
+            begin = np.cumsum(size) - size
+            key = columns[depth][pointer]
+            pivot = key[begin + size // 2]
+            middle = np.repeat(pivot, size)
+            less, equal = key < middle, key == middle
+            n_less, n_equal = (np.add.reduceat(m, begin, dtype=np.int64) for m in (less, equal))
+            masks, counts = (less, equal, ~(less | equal)), (n_less, n_equal, size - n_less - n_equal)
+            if weights is None:
+                totals = counts
+            else:
+                weight = weights[pointer]
+                totals = [np.add.reduceat(np.where(m, weight, 0), begin) for m in masks]
+            parts = [pointer[m] for m in masks]
+
+            whole = (pivot == END) | (depth + 1 == deepest)
+            done = whole | (n_equal == 1) if leaves else whole
+            report = (done if leaves else pivot != END) & (totals[1] >= floors[depth + 1])
+            first = parts[1][np.cumsum(n_equal) - n_equal]
+            found.append((first[report].astype(np.int64), np.full(report.sum(), depth + 1), totals[1][report]))
+            kept = [(c > 0) & (t >= floors[depth + 1]) for c, t in zip(counts, totals)]
+            kept[1] = ~done & (totals[1] >= floors[min(depth + 2, deepest)])
+            for side, deep in ((0, depth), (2, depth), (1, depth + 1)):
+                if kept[side].any():
+                    waiting[deep].append((parts[side][np.repeat(kept[side], counts[side])], counts[side][kept[side]]))
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
@@ -214,17 +215,19 @@ def _suffixes(size, batches):
         for data, offsets, row, unfinished in _text_blocks(batch, size):
             codes, dictionary, rows, joined = _words(data, offsets)
             n = len(codes)
-            keys = np.full((n + 2, 1 + LONGEST), END)
-            keys[:n, 0] = lang_of[row + rows]
-            keys[:n, 1] = codes
+            keys = np.full((n + 2, LONGEST), END)
+            keys[:n, 0] = codes
             linked = np.ones(n, bool)
             for k in range(1, LONGEST):
                 linked = linked & np.append(joined, np.zeros(k, bool))[k - 1:n + k - 1]
-                keys[:n, 1 + k][linked] = keys[k:n + k, 1][linked]
+                keys[:n, k][linked] = keys[k:n + k, 0][linked]
+            # Language and first word are one key.
+            keys[:n, 0] += lang_of[row + rows] * len(dictionary)
             keys = keys[:max(n - 2, 0) if unfinished else n]
-            pointer, _, count = equal_partitions(keys, np.ones(len(keys)), [0] * (2 + LONGEST), leaves=True)
+            pointer, _, count = equal_partitions(keys, None, [0] * (1 + LONGEST), leaves=True)
             found = keys[pointer]
-            yield _routed(langs.dictionary, found[:, 0], found[:, 1:], dictionary, count, 0, False)
+            lang, found[:, 0] = np.divmod(found[:, 0], max(len(dictionary), 1))
+            yield _routed(langs.dictionary, lang, found, dictionary, count, 0, False)
 
 
 def _runs(batches, most):
