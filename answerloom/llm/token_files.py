@@ -42,7 +42,7 @@ def _chosen(pairs, shift, counts, room):
     doubled symbol is in no other pair. Only pairs at least a sixteenth as frequent as the first
     are taken, so the most frequent ones are still replaced before they can be broken up.
     """
-    top = np.flatnonzero(counts >= max(LEAST, counts.max() // 16))
+    top = np.flatnonzero(counts >= counts.max() // 16)
     top = top[np.argsort(-counts[top], kind="stable")]
     lefts, rights, out = set(), set(), []
     for left, right in zip((pairs[top] >> shift).tolist(), (pairs[top] & (1 << shift) - 1).tolist()):
@@ -70,48 +70,61 @@ def repair(ids, ends, max_rules=1 << 24):
     neighbouring symbols, takes frequent ones that cannot overlap and puts a new symbol in their
     places; it ends when no pair occurs ``LEAST`` times or the rules run out.
     """
-    symbols, ends = ids.astype(np.int64), ends.copy()
+    symbols, ends = ids.astype(np.uint64), ends.copy()
     first = int(ids.max()) + 1 if len(ids) else 0
     narrow = first < 65_536
     if narrow:
         max_rules = min(max_rules, 65_536 - first)  # all symbols fit in two bytes
         symbols = symbols.astype(np.uint32)
     shift = symbols.dtype.type(16 if narrow else 32)
+    spread = symbols.dtype.type(0x9E3779B1 if narrow else 0x9E3779B97F4A7C15)
+    # Places whose pair may still be frequent: a rare pair of old symbols never becomes so.
+    alive = ~ends
     left, right = [], []
     while len(symbols) > 1 and len(left) < max_rules:
-        keys = symbols[:-1] << shift | symbols[1:]
-        counted = ~ends[:-1]
-        double = np.flatnonzero((symbols[:-1] == symbols[1:]) & counted)
+        at = np.flatnonzero(alive[:-1])
+        a, b = symbols[at], symbols[at + 1]
+        double = np.flatnonzero(a == b)
         if len(double):
-            counted[double] = False
-            counted[_apart(double)] = True
-        ordered = np.sort(keys[counted])
-        if not len(ordered):
+            single = np.ones(len(at), bool)
+            single[double] = False
+            single[np.searchsorted(at, _apart(at[double]))] = True
+            at, a, b = at[single], a[single], b[single]
+        keys = a << shift | b
+        ordered = np.sort(keys)
+        begin = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(keys) else at
+        counts = np.diff(np.append(begin, len(ordered)))
+        frequent = counts >= LEAST
+        if not frequent.any():
             break
-        at = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        counts = np.diff(np.append(at, len(ordered)))
-        if counts.max() < LEAST:
-            break
-        new = _chosen(ordered[at].astype(np.int64), int(shift), counts, max_rules - len(left))
-        parts = np.array(new, np.int64)
+        pairs, counts = ordered[begin[frequent]], counts[frequent]
+        slot = lambda key: (key * spread) >> symbols.dtype.type(12 if narrow else 44)
+        known = np.zeros(1 << 20, bool)
+        known[slot(pairs)] = True
+        alive[at[~known[slot(keys)]]] = False
+
+        new = np.array(_chosen(pairs.astype(np.int64), int(shift), counts, max_rules - len(left)), np.int64)
         is_left, is_right = np.zeros((2, first + len(left)), bool)
-        is_left[parts[:, 0]] = True
-        is_right[parts[:, 1]] = True
-        maybe = np.flatnonzero(is_left[symbols[:-1]] & is_right[symbols[1:]] & counted)
-        chosen = (parts[:, 0] << int(shift) | parts[:, 1]).astype(symbols.dtype)
+        is_left[new[:, 0]] = True
+        is_right[new[:, 1]] = True
+        maybe = np.flatnonzero(is_left[a] & is_right[b])
+        chosen = (new[:, 0] << int(shift) | new[:, 1]).astype(symbols.dtype)
         rank = np.argsort(chosen)
         chosen = chosen[rank]
         found = np.minimum(np.searchsorted(chosen, keys[maybe]), len(new) - 1)
         hit = chosen[found] == keys[maybe]
-        place, rule = maybe[hit], rank[found[hit]]
-        symbols[place] = first + len(left) + rule
+        place = at[maybe[hit]]
+        symbols[place] = first + len(left) + rank[found[hit]]
         ends[place] = ends[place + 1]
+        alive[place] = ~ends[place]
+        before = place[place > 0] - 1
+        alive[before] = ~ends[before]
         keep = np.ones(len(symbols), bool)
         keep[place + 1] = False
-        symbols, ends = symbols[keep], ends[keep]
-        left += parts[:, 0].tolist()
-        right += parts[:, 1].tolist()
-    return first, np.array(left, np.int64), np.array(right, np.int64), symbols
+        symbols, ends, alive = symbols[keep], ends[keep], alive[keep]
+        left += new[:, 0].tolist()
+        right += new[:, 1].tolist()
+    return first, np.array(left, np.int64), np.array(right, np.int64), symbols.astype(np.int64)
 
 
 def _lengths(first, left, right):
@@ -242,7 +255,7 @@ _SMALL = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")  # a to z, U+00DF t
 class _ChunkIds:
     """Ids of distinct chunks as bytes. Of two halves the older is dropped when the newer is full."""
 
-    def __init__(self, model, limit=600_000):
+    def __init__(self, model, limit=1_000_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core already
@@ -256,7 +269,8 @@ class _ChunkIds:
     def find(self, chunks):
         """Id bytes of distinct chunks."""
         out = [*map(self.young.get, chunks)]
-        for i in [i for i, ids in enumerate(out) if ids is None]:
+        new = [i for i, ids in enumerate(out) if ids is None]
+        for i in new:
             out[i] = self.old.get(chunks[i])
         texts = []
         for i in [i for i, ids in enumerate(out) if ids is None]:
@@ -272,7 +286,7 @@ class _ChunkIds:
                 [chunks[i].decode("utf-8", "replace") for i in texts], add_special_tokens=False)
             for i, e in zip(texts, encoded):
                 out[i] = array("I", e.ids).tobytes()
-        self.young.update(zip(chunks, out))
+        self.young.update((chunks[i], out[i]) for i in new)
         if len(self.young) > self.half:
             self.young, self.old = {}, self.young
         return out
