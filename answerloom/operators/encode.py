@@ -9,7 +9,8 @@ from pyspark.sql import functions as F, types as T
 
 from answerloom.functions.ids import pad_right
 from answerloom.functions.templates import pair_text, text_is_cut
-from answerloom.operators.tokenizer import SPECIALS, every_other, segments, token_bytes
+from answerloom.operators.merges import every_other
+from answerloom.operators.tokenizer import SPECIALS, segments, token_bytes
 from answerloom.session import ship_package
 
 IDS = T.ArrayType(T.IntegerType(), False)

@@ -1,17 +1,16 @@
 """Byte-level BPE: corpus word counts and merges learned with Spark jobs."""
 
-import heapq
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from answerloom import schemas
 from answerloom.functions.text import sample_lines
 from answerloom.functions.templates import pair_text
 from answerloom.functions.splits import is_val
+from answerloom.operators.merges import learn_merges
 from answerloom.operators.sampling import keyed_sample
-from answerloom.session import cut_lineage, delete_path, work_dir
+from answerloom.session import cut_lineage
 
 # The special tokens (ids 0-4) and the public byte-level word pattern:
 # 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
@@ -151,19 +150,25 @@ class _Vocabulary:
         self.of_symbol[symbol] = token
         return symbol
 
+    def copy(self):
+        other = object.__new__(_Vocabulary)
+        other.__dict__.update({name: value.copy() for name, value in self.__dict__.items()})
+        return other
+
     def model(self):
         return BpeModel(tuple(self.tokens), tuple(self.merges))
 
 
-def learn_bpe(counts, vocab_size, alphabet="observed", min_count=1, listed=16_384):
+def learn_bpe(counts, vocab_size, alphabet="observed", min_count=1, **rounds):
     """Learn a BPE vocabulary from a ``(pretoken, count)`` table.
 
     The most frequent pair is merged first, ties go to the smaller ids.
     ``alphabet="observed"`` starts from the bytes that occur, ``"bytes"`` from
-    all 256. ``min_count`` > 1 ignores rarer words.
+    all 256. ``min_count`` > 1 ignores rarer words. ``rounds`` go to ``learn_merges``; the merges are the same
+    for all of them.
 
-    The word table stays on the cluster at every size; what reaches the driver
-    (letters, the most frequent pairs, changes of pair counts) is bounded by the vocabulary.
+    The word table stays on the cluster at every size; what reaches the driver (letters, the
+    most frequent pairs, a sample of words to guess from, changes of pair counts) is bounded.
     """
     if alphabet not in ("observed", "bytes"):
         raise ValueError("alphabet is 'observed' or 'bytes'")
@@ -183,139 +188,5 @@ def learn_bpe(counts, vocab_size, alphabet="observed", min_count=1, listed=16_38
     symbols = words.where(F.length("word") > 1).select(
         F.translate("word", source, target).alias("word"), "n"
     )
-    _merge_by_jobs(symbols, vocab, vocab_size, listed)
+    learn_merges(symbols, vocab, vocab_size, **rounds)
     return vocab.model()
-
-
-def every_other(places):
-    """Of each run of neighbouring places keep the first, third, ... (no overlaps)."""
-    starts = np.concatenate(([True], np.diff(places) != 1)) if len(places) else np.zeros(0, bool)
-    run_start = np.maximum.accumulate(np.where(starts, np.arange(len(places)), 0))
-    return places[(np.arange(len(places)) - run_start) % 2 == 0]
-
-
-def _exact_batch(top, vocab, room, floor):
-    """Pairs of the sorted list ``top`` that can be merged in one round.
-
-    Every pair that is not listed has at most ``floor`` occurrences.
-
-    Merging (a, b) changes the counts of pairs that end in a or start with b,
-    and creates pairs that are at most as frequent as those were. So a further
-    pair joins while it is not one of them and is more frequent than all of
-    them. A pair of equal symbols, or one whose joined token exists already,
-    is merged alone.
-    """
-    batch, joined, lefts, rights, bound = [], set(), set(), set(), 0
-    for k, (pair, n) in enumerate(top):
-        token = vocab.joined(pair)
-        alone = pair[0] == pair[1] or token in vocab.ids or token in joined
-        if batch and (len(batch) == room or alone or n <= bound or _touched(pair, lefts, rights)):
-            break
-        batch.append(pair)
-        if alone:
-            break
-        joined.add(token)
-        lefts.add(pair[0])
-        rights.add(pair[1])
-        rest = [m for p, m in top[k + 1:] if _touched(p, lefts, rights)][:1]
-        # Pairs beyond the list may be touched too.
-        bound = max(rest + [floor])
-    return batch
-
-
-def _touched(pair, lefts, rights):
-    return pair[1] in lefts or pair[0] in rights
-
-
-def _apply(merges, word):
-    """All merges in order, as one fold over a constant array of steps.
-
-    The expression has the same shape in every round, so Spark does not compile
-    a longer chain of replacements each time.
-    """
-    steps = F.split(F.lit(" ".join(pair + symbol for pair, symbol in merges)), " ")
-    return F.aggregate(
-        steps, word, lambda w, step: F.replace(w, F.substring(step, 1, 2), F.substring(step, 3, 1))
-    )
-
-
-def _pairs_of(word):
-    """All neighbouring symbols of a word."""
-    last = F.length(word) - 1
-    pairs = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(word, i, F.lit(2)))
-    return F.when(last > 0, pairs).otherwise(F.array().cast("array<string>"))
-
-
-def _top_pairs(words, limit):
-    """The most frequent pairs of a full count, and the count no other pair exceeds."""
-    rows = (
-        words.select(F.explode(_pairs_of(F.col("word"))).alias("pair"), "n").groupBy("pair")
-        .agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.asc("pair")).limit(limit + 1).collect()
-    )
-    floor = rows[-1]["n"] if len(rows) > limit else 0
-    return {r["pair"]: r["n"] for r in rows[:limit]}, floor
-
-
-def _changes(words, merges):
-    """How the counts of pairs change when ``merges`` are applied, from the words they touch alone.
-
-    Only pairs beside a merged place differ, so there are at most a few per
-    merge and symbol of the vocabulary.
-    """
-    merged = F.split(F.lit(" ".join(pair for pair, _ in merges)), " ")
-    touched = F.exists(merged, lambda pair: F.contains(F.col("word"), pair))
-    before = F.transform(_pairs_of(F.col("word")), lambda p: F.struct(p.alias("pair"), F.lit(-1).alias("sign")))
-    after = F.transform(_pairs_of(F.col("next")), lambda p: F.struct(p.alias("pair"), F.lit(1).alias("sign")))
-    rows = words.where(touched).withColumn("next", _apply(merges, F.col("word")))
-    return (
-        rows.select(F.explode(F.concat(before, after)).alias("x"), "n").groupBy("x.pair")
-        .agg(F.sum(F.col("n") * F.col("x.sign")).alias("d")).where("d <> 0").collect()
-    )
-
-
-def _merge_by_jobs(symbols, vocab, vocab_size, listed=16_384, at_once=2_048, max_pending=48):
-    """One job per round: read how a batch of merges changes pair counts.
-
-    The driver keeps the exact counts of the ``listed`` most frequent pairs and
-    of all pairs with a new symbol; every other pair has at most ``floor``
-    occurrences and can only lose some. When the best known pair falls to the floor,
-    all pairs are counted anew. After ``max_pending`` merges the words are written to a
-    new table, which bounds the work per word and the lineage, and the table before is deleted.
-    """
-    spark, base, pending, path = symbols.sparkSession, symbols, [], None
-    counts, floor = _top_pairs(base, listed)
-    while len(vocab.tokens) < vocab_size:
-        words = base.select(_apply(pending, F.col("word")).alias("word"), "n") if pending else base
-        known = ((p, n) for p, n in counts.items() if n > floor)
-        top = heapq.nsmallest(at_once + 1, known, key=lambda x: (-x[1], x[0]))
-        if not top:
-            counts, floor = _top_pairs(words, listed)
-            # Of a tie across the cut the first pair is right: the list is sorted.
-            top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:at_once + 1]
-            if not top:
-                break
-        beyond = top.pop()[1] if len(top) > at_once else 0
-        batch = _exact_batch(top, vocab, vocab_size - len(vocab.tokens), max(floor, beyond))
-        existed = any(vocab.joined(pair) in vocab.ids for pair in batch)
-        merges = [(pair, vocab.add(pair)) for pair in batch]
-        if len(vocab.tokens) >= vocab_size:
-            break
-        if existed:
-            counts, floor = {}, 0  # pairs with a symbol that was there before may gain: count anew
-        else:
-            new = {symbol for _, symbol in merges}
-            for r in _changes(words, merges):
-                if r["pair"] in counts or r["pair"][0] in new or r["pair"][1] in new:
-                    counts[r["pair"]] = counts.get(r["pair"], 0) + r["d"]
-                    if counts[r["pair"]] <= 0:
-                        del counts[r["pair"]]
-        pending += merges
-        if len(pending) >= max_pending:
-            old, path = path, work_dir(spark, "merged-words")
-            merged = base.select(_apply(pending, F.col("word")).alias("word"), "n")
-            merged.where(F.length("word") > 1).write.parquet(path)
-            base, pending = spark.read.schema(symbols.schema).parquet(path), []
-            if old:
-                delete_path(spark, old)
-    if path:
-        delete_path(spark, path)

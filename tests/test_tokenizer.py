@@ -77,41 +77,6 @@ def test_a_short_list_of_pairs_gives_the_same_merges(spark, counts, model):
     assert short.size == 200
 
 
-def test_batches_of_merges_are_exact():
-    """Random word tables: whole batches against one merge at a time."""
-    import random
-    from collections import Counter
-
-    rng = random.Random(5)
-    for _ in range(60):
-        words = {"".join(rng.choice("abcde") for _ in range(rng.randint(2, 7))): rng.randint(1, 9)
-                 for _ in range(rng.randint(3, 40))}
-
-        def run(batched):
-            vocab = tk._Vocabulary([ord(c) for c in "abcde"])
-            table = {"".join(vocab.byte_symbols[ord(c)] for c in w): n for w, n in words.items()}
-            merges = []
-            while len(merges) < 25:
-                pairs = Counter()
-                for w, n in table.items():
-                    for x in zip(w, w[1:]):
-                        pairs["".join(x)] += n
-                top = sorted(pairs.items(), key=lambda kv: (-kv[1], kv[0]))
-                batch = tk._exact_batch(top, vocab, 100, 0) if batched else [p for p, _ in top[:1]]
-                if not batch:
-                    break
-                for p in batch:
-                    s = vocab.add(p)
-                    merges.append(vocab.merges[-1])
-                    new = Counter()
-                    for w, n in table.items():
-                        new[w.replace(p, s)] += n
-                    table = dict(new)
-            return merges[:25]
-
-        assert run(True) == run(False)
-
-
 def test_byte_alphabet_round_trips_any_text(spark, counts):
     full = tk.learn_bpe(counts, 400, alphabet="bytes")
     encode = en.encoder(spark, full)
