@@ -17,7 +17,7 @@ from answerloom.operators.tokenizer import (
 from answerloom.schemas import posts_schema, require_columns
 from answerloom.sources.checks import require_valid
 from answerloom.sources.sinks import manifest, write_manifest, write_tokens
-from answerloom.sources.tables import must_build, note_stage, read_tokens, saved_stage
+from answerloom.sources.tables import file_states, must_build, note_stage, read_tokens, saved_stage
 
 
 @dataclass(frozen=True)
@@ -39,7 +39,7 @@ class CorpusConfig:
     max_seq_len: int = 1_024
     vocab_size: int = 16_000
     alphabet: str = "observed"
-    tokenizer_sample_rows: int = 200_000
+    tokenizer_sample_rows: int | None = None  # learn from so many train rows only
     rows_per_file: int = 65_536
     hot_share: int = 1_000_000
     seed: int = 42
@@ -48,19 +48,25 @@ class CorpusConfig:
 _BASE = CorpusConfig()
 _RUN_A = replace(
     _BASE, min_answer_chars=80, min_answer_words=12, drop_short_thanks=True,
-    vocab_size=32_000, tokenizer_sample_rows=2_000_000,
+    vocab_size=32_000,
 )
 
 PRESETS = {
     "fast": _BASE,
-    "stream": replace(
-        _BASE, policy="two_way", val_fraction=0.01, test_fraction=0.0, tokenizer_sample_rows=50_000
-    ),
+    "stream": replace(_BASE, policy="two_way", val_fraction=0.01, test_fraction=0.0),
     "run_a": _RUN_A,
     "run_c": replace(_RUN_A, prompt_style="grounded_qa"),
     "notebook": _BASE,
 }
 
+#: How many train rows a caller may choose to learn from instead of all.
+SAMPLE_ROWS = {"fast": 200_000, "stream": 50_000, "run_a": 2_000_000, "run_c": 2_000_000, "notebook": 200_000}
+
+
+def sampled_preset(name):
+    """A preset whose tokenizer learns from a sample of its usual size."""
+    return replace(PRESETS[name], tokenizer_sample_rows=SAMPLE_ROWS[name])
+
 
 def split_rows(pairs, config):
     """Curated pairs with their split, by the configured policy."""
@@ -99,10 +105,13 @@ STAGE_KNOBS = {
 
 
 def fingerprints(posts, config):
-    """A hash per stage over its knobs, the stages before it, the input files and the plan over them."""
+    """A hash per stage over its knobs, the stages before it, the input files and the plan over them.
+
+    A file counts with its length and modification time, so one that is written anew under its name is another.
+    """
     if posts is None:
         return dict.fromkeys(STAGE_KNOBS)
-    upstream = [sorted(posts.inputFiles()), posts._jdf.queryExecution().analyzed().canonicalized().toString()]
+    upstream = [file_states(posts), posts._jdf.queryExecution().analyzed().canonicalized().toString()]
     knobs, out = asdict(config), {}
     for stage, names in STAGE_KNOBS.items():
         upstream = sha256(json.dumps([upstream, {k: knobs[k] for k in names}], sort_keys=True).encode()).hexdigest()

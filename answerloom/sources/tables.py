@@ -1,5 +1,7 @@
 """Parquet sources: shard sets, projected scans, row caps, saved stages."""
 
+from urllib.parse import unquote
+
 from pyspark.sql import functions as F
 
 from answerloom import schemas
@@ -55,6 +57,17 @@ def merge_parts(spark, parts, out=None, files=None):
     return spark.read.parquet(out)
 
 
+def file_states(df):
+    """``[path, length, modification time]`` of the files a DataFrame reads, sorted; one row per file."""
+    paths = [unquote(p) for p in df.inputFiles()]
+    if not paths:
+        return []
+    # Columns of the file listing: no content is read.
+    files = df.sparkSession.read.format("binaryFile").load(paths).select(
+        "path", "length", F.unix_micros("modificationTime").alias("modified"))
+    return sorted([r["path"], r["length"], r["modified"]] for r in files.collect())
+
+
 def stage_state(spark, path, fingerprint=None, marker="_SUCCESS"):
     """``done``, ``missing`` or ``changed``: whether a finished stage has this fingerprint."""
     if not path_exists(spark, f"{path}/{marker}"):
