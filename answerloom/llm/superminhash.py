@@ -276,12 +276,22 @@ def near_duplicates(docs, id_col="doc_id", text_col="text", k=5, percent=80, slo
 def drop_near_duplicates(docs, id_col="doc_id", **options):
     """``docs`` without the rows whose group keeps another row; all columns as they are.
 
-    Rows with a NULL id stay. Of rows that repeat an id one stays.
+    Of a group the row with the smallest id stays. Rows are told apart even if they repeat an
+    id: a row goes only if its own shingles are linked to those of a row that stays. Rows with a NULL id
+    stay, as do rows without words. An empty table stays empty.
+
+    Where ids repeat, the rows are written once with a number of their own, in the order of their ids.
     """
-    groups = cut_lineage(near_duplicates(docs, id_col, **options), "near-duplicates")
-    gone = groups.where("NOT kept").select(F.col(id_col).cast("long").alias("__gone")).distinct()
-    kept = docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
-    if groups.groupBy(id_col).count().where("count > 1").isEmpty():
-        return kept
-    single = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return single.unionByName(kept.where(F.col(id_col).isNull()))
+    row_col = "row"
+    while row_col in docs.columns:
+        row_col = "_" + row_col
+    key = F.col(id_col).cast("long")
+    if docs.where(key.isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
+        rows = docs.withColumn(row_col, key)
+    else:
+        order = [key, F.xxhash64(F.col(options.get("text_col", "text")))]
+        rows = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+        rows = cut_lineage(rows.withColumn(row_col, F.when(key.isNotNull(), F.monotonically_increasing_id())), "rows")
+    groups = near_duplicates(rows, row_col, **options)
+    gone = cut_lineage(groups.where("NOT kept").select(F.col(row_col).alias("gone_row")), "near-duplicates")
+    return rows.join(gone, rows[row_col] == gone["gone_row"], "left_anti").select(*docs.columns)
