@@ -5,7 +5,7 @@ from functools import partial
 import numpy as np
 from pyspark.sql import Window, functions as F
 
-from answerloom.llm.textscan import Memo, Pool
+from answerloom.llm.chunk_ids import ChunkIds, letter_borders
 from answerloom.session import cut_lineage, ship_package
 
 END_ID = 0
@@ -14,12 +14,12 @@ _KNOWN = np.zeros(256, bool)  # bytes that are a whole character and no white sp
 _KNOWN[0x21:0x7F] = True
 
 
-def _chunk_starts(data, offsets):
-    """Chunks begin with a row, and with one white-space byte between characters that are none.
+def _chunk_starts(data, offsets, added=()):
+    """Chunks begin with a row, with one white-space byte between characters that are none, and between letter and sign.
 
     The byte-level word pattern never joins across such a place, so a chunk on
     its own has the ids it has in its text. Around other bytes than ASCII and
-    two-byte Latin letters nothing is cut.
+    two-byte Latin letters nothing is cut; text with the name of an ``added`` token is only cut at white space.
     """
     from answerloom.llm.textscan import SPACE
 
@@ -34,48 +34,27 @@ def _chunk_starts(data, offsets):
     # A row's last byte has no neighbour to look at.
     start[offsets[1:][np.diff(offsets) > 0] - 1] = False
     start[first] = True
+    text = data.tobytes()
+    if not any(name in text for name in added):
+        start[1:] |= letter_borders(data)
     return np.flatnonzero(start)
 
 
-class _Ids(Memo):
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-        self.clear()
+#: One word to the byte-level pattern: a blank or none, then ASCII letters or U+00C0 to U+00FF less two signs.
+WORD = rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
 
-    def clear(self):
-        self.ids, self.begin, self.count = Pool(np.uint32), Pool(np.int64), Pool(np.int64)
 
-    def add(self, texts):
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.array([len(x) for x in encoded], np.int64)
-        self.begin.extend(self.ids.size + np.cumsum(lengths) - lengths)
-        self.count.extend(lengths)
-        self.ids.extend(np.fromiter((i for x in encoded for i in x), np.uint32, int(lengths.sum())))
-
-
-def _load(model):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core already
-    from tokenizers import Tokenizer
-
-    return _Ids(Tokenizer.from_str(model.value))
-
-
-def _row_ids(memo, data, offsets):
+def _row_ids(known, data, offsets):
     """Ids of all rows in one array, each row closed by END_ID, and the rows' offsets in it."""
-    from answerloom.llm.textscan import chunk_hashes, gather
+    import pyarrow as pa
 
-    starts = _chunk_starts(data, offsets)
-    ends = np.append(starts[1:], len(data))
-    slots = memo.find(chunk_hashes(data, starts), lambda new: memo.add(
-        [data[starts[i]:ends[i]].tobytes().decode() for i in new.tolist()]))
-    lengths = memo.count.array[slots]
+    starts = _chunk_starts(data, offsets, known.added)
+    bounds = np.append(starts, len(data))
+    chunks = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+    found, lengths = known.lay_out(chunks.dictionary_encode())
     per_row = np.diff(np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(starts, offsets)])
     ids = np.full(int(per_row.sum()) + len(per_row), END_ID, np.uint32)
-    place = np.arange(int(per_row.sum())) + np.repeat(np.arange(len(per_row)), per_row)
-    ids[place] = memo.ids.array[gather(memo.begin.array[slots], lengths)]
+    ids[np.arange(len(found)) + np.repeat(np.arange(len(per_row)), per_row)] = found
     return ids, np.concatenate([[0], np.cumsum(per_row + 1)])
 
 
@@ -88,11 +67,11 @@ def _cut(key, model, capacity, with_ids, batches):
 
     from answerloom.llm.textscan import kept, pieces, text_bytes
 
-    memo, task = kept(("ids", key), lambda: _load(model)), TaskContext.get().partitionId()
+    known, task = kept(("ids", key), lambda: ChunkIds(model.value, WORD)), TaskContext.get().partitionId()
     seen = np.zeros(capacity + 1, np.int64)
     for batch in batches:
         for part in pieces(batch, size=4_000_000):
-            ids, at = _row_ids(memo, *text_bytes(part.column(1)))
+            ids, at = _row_ids(known, *text_bytes(part.column(1)))
             total = np.diff(at)
             count = -(-total // capacity)
             row = np.repeat(np.arange(len(total)), count)

@@ -11,17 +11,15 @@ symbol; u32 left and right and expansion length of each rule; the symbols; every
 symbol's first id as u32. A zero byte ends the record.
 """
 
-import re
 import struct
 import zlib
-from array import array
 from functools import partial
 
 import numpy as np
 from pyspark.sql import Window, functions as F
 
+from answerloom.llm.chunk_ids import ChunkIds, letter_borders
 from answerloom.llm.textscan import SPACE, gather, kept, pieces, text_bytes
-from answerloom.operators.tokenizer import BYTE_CHARS
 from answerloom.session import cut_lineage, ship_package
 
 MAGIC = b"RPID"
@@ -243,60 +241,10 @@ def records(data, check=True):
 
 # ---- encoding ------------------------------------------------------------------------------
 
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
-_SIGN = np.zeros(256, bool)  # ASCII signs but the apostrophe, which begins contractions
-_SIGN[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'"]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
-_SMALL = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")  # a to z, U+00DF to U+00FF less the division sign
-
-
-class _ChunkIds:
-    """Ids of distinct chunks as bytes. Of two halves the older is dropped when the newer is full."""
-
-    def __init__(self, model, limit=1_000_000):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core already
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.half = Tokenizer.from_str(model.value), limit // 2
-        self.merge = self.tokenizer.model.tokenize
-        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.young, self.old = {}, {}
-
-    def find(self, chunks):
-        """Id bytes of distinct chunks."""
-        out = [*map(self.young.get, chunks)]
-        new = [i for i, ids in enumerate(out) if ids is None]
-        for i in new:
-            out[i] = self.old.get(chunks[i])
-        texts = []
-        for i in [i for i, ids in enumerate(out) if ids is None]:
-            chunk = chunks[i]
-            if _SMALL.fullmatch(chunk):
-                # Small letters alone: one word, which no normaliser changes.
-                symbols = chunk.decode("latin-1").translate(BYTE_CHARS)
-                out[i] = array("I", [t.id for t in self.merge(symbols)]).tobytes()
-            else:
-                texts.append(i)
-        if texts:
-            encoded = self.tokenizer.encode_batch_fast(
-                [chunks[i].decode("utf-8", "replace") for i in texts], add_special_tokens=False)
-            for i, e in zip(texts, encoded):
-                out[i] = array("I", e.ids).tobytes()
-        self.young.update((chunks[i], out[i]) for i in new)
-        if len(self.young) > self.half:
-            self.young, self.old = {}, self.young
-        return out
-
-
-def _bytes_of(column):
-    """Values of a large binary column without NULLs."""
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1].tolist()
-    raw = column.buffers()[2].to_pybytes() if len(column) else b""
-    return [raw[a:b] for a, b in zip(offsets, offsets[1:])]
+#: Small letters alone (a to z, U+00DF to U+00FF less the division sign): one word, which no normaliser changes.
+SMALL = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+"
 
 
 def _row_ids(known, data, offsets):
@@ -310,15 +258,14 @@ def _row_ids(known, data, offsets):
 
     lower = _LOWER[data]
     text = lower.tobytes()
-    plain = not any(name in text for name in known.added)
+    plain = not any(name.lower() in text for name in known.added)
     data = lower if plain else data
     inside = ~SPACE[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets[:-1]] = True
     border = first[1:-1].copy()
     if plain:
-        letter, sign = _LETTER[data], _SIGN[data]
-        border |= (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
+        border |= letter_borders(data)
     start, stop = inside.copy(), inside.copy()
     start[1:] &= ~inside[:-1] | border
     stop[:-1] &= ~inside[1:] | border
@@ -326,12 +273,7 @@ def _row_ids(known, data, offsets):
     bounds = np.concatenate(([0], np.cumsum(ends - starts)))
     coded = pa.Array.from_buffers(
         pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data[inside])]).dictionary_encode()
-    found = known.find(_bytes_of(coded.dictionary))
-    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-    flat = np.frombuffer(b"".join(found), np.uint32)
-    used = coded.indices.to_numpy(zero_copy_only=False)
-    sized = sizes[used]
-    ids = flat[gather((np.cumsum(sizes) - sizes)[used], sized)]
+    ids, sized = known.lay_out(coded)
     total = np.concatenate(([0], np.cumsum(sized)))
     return ids, np.diff(total[np.searchsorted(starts, offsets)])
 
@@ -395,7 +337,7 @@ def _write(key, model, end_id, size, batches):
     import pyarrow as pa
     from pyspark import TaskContext
 
-    known = kept(("chunks", key), lambda: _ChunkIds(model))
+    known = kept(("chunks", key), lambda: ChunkIds(model.value, SMALL))
     writer = _Writer(TaskContext.get().partitionId(), size)
     row = lambda record: pa.RecordBatch.from_arrays([pa.array([record[:-1]], pa.binary())], ["record"])
     open_ids = 0

@@ -94,8 +94,7 @@ def test_long_texts_are_several_blocks(spark, tmp_path, monkeypatch):
     text = noise(rng, 30_000)
     monkeypatch.setattr(t._sections, "__defaults__", (20_000,))
     rows = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["x", text, "y z"])], ["id", "text"])
-    model = type("Model", (), {"value": open(PATH).read()})
-    known, ids, sections = t._ChunkIds(model), [], list(t._sections(rows))
+    known, ids, sections = t.ChunkIds(open(PATH).read(), t.SMALL), [], list(t._sections(rows))
     for doc_ids, data, offsets, unfinished in sections:
         ids += t._row_ids(known, data, offsets)[0].tolist()
     library = Tokenizer.from_file(PATH)
@@ -119,8 +118,7 @@ def test_nulls_repeated_ids_empty_and_clashing_columns(spark, tmp_path):
 
 
 def test_memory_of_chunks_is_dropped_by_halves():
-    model = type("Model", (), {"value": open(PATH).read()})
-    known = t._ChunkIds(model, limit=8)
+    known = t.ChunkIds(open(PATH).read(), t.SMALL, limit=8)
     library = Tokenizer.from_file(PATH)
     for words in ([b"one", b"two"], [b"one", b"three."], [b"%d" % i for i in range(6)], [b"one", b"5", b"Ab"]):
         found = known.find(words)
