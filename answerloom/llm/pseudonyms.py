@@ -3,11 +3,30 @@
 from pyspark.sql import functions as F
 
 EMAIL = r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}"
-IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)"
+# The length of an IBAN by country, from the public ISO 13616 registry.
+IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 "
+    "FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 "
+    "LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 "
+    "RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+).split()
+
+
+def _iban_pattern():
+    """IBANs of their country's length, so that what follows one is not taken in; then any length for other countries."""
+    lengths = sorted({int(c[2:]) for c in IBAN_LENGTHS})
+    exact = [
+        f"(?:{'|'.join(c[:2] for c in IBAN_LENGTHS if int(c[2:]) == n)})\\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n in lengths]
+    return rf"(?<!\w)(?=[A-Z]{{2}}\d{{2}})(?:{'|'.join(exact)}|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]){{11,30}})(?!\w)"
+
+
+IBAN = _iban_pattern()
 DATE = r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?!\w|[.-]\d)"
 IPV4 = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?!\w|-\d)"
+_CARD_SHAPE = r"(?:\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\w|-\d)"
+#: The usual groups first; other groups only where no usual ones begin a few groups later.
+CARD = rf"(?<![\w-])(?:{_CARD_SHAPE}|(?!(?:\d{{1,19}}[ -]){{1,4}}{_CARD_SHAPE})\d(?:[ -]?\d){{12,18}}(?!\w|-\d))"
 PHONE = r"(?<![\w+(-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w|-\d)"
 #: Looked for in this order at every place.
 PATTERN = "|".join([EMAIL, IBAN, DATE, IPV4, SSN, CARD, PHONE])
@@ -235,8 +254,9 @@ def _found(token, key):
 def pseudonymise(docs, key, text_col="text", found_col="pseudonyms"):
     """``docs`` with every valid personal value replaced, and an array column of what was replaced.
 
-    Looked for: e-mail addresses, IBANs (mod 97), days (four formats, 1800 to 2199), IPv4
-    addresses, US social security numbers, payment cards (Luhn) and
+    Looked for: e-mail addresses, IBANs (mod 97, of their country's length), days (four formats, 1800 to 2199), IPv4
+    addresses, US social security numbers, payment cards (Luhn; other digits or capitals may stand beside
+    cards and IBANs) and
     ten-digit phone numbers (kind ``phone_other`` if the area code or the exchange begins
     with 0 or 1). Values that fail their check stay as they are, and so do
     numbers without a country code whose area code begins with 1. A value is
