@@ -46,6 +46,31 @@ MADE = {
 }
 
 
+def _let(value, body):
+    """``body`` of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _by_blocks(items, measure, combine, walk, size=256):
+    """``walk(block, base)`` of blocks of an array, joined; ``base`` combines the ``measure`` of all blocks before.
+
+    A fold copies what it has gathered at every step, so one fold over a long array
+    costs its square; folds over blocks of a fixed size do not.
+    """
+    def whole(xs):
+        last = F.greatest(F.floor((F.size(xs) - 1) / size), F.lit(0)).cast("int")
+        return _let(F.transform(
+            F.sequence(F.lit(0), last), lambda i: F.slice(xs, i * size + 1, F.lit(size))), joined)
+
+    def joined(blocks):
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("bases"))
+        bases = F.aggregate(F.transform(blocks, measure), start, lambda acc, m: F.struct(
+            combine(acc.at, m).alias("at"), F.concat(acc.bases, F.array(acc.at)).alias("bases")), lambda acc: acc.bases)
+        return F.flatten(F.zip_with(blocks, bases, walk))
+
+    return _let(items, whole)
+
+
 def _positions(text, pattern, group, least, kind_no):
     """Spans (start, kind_no, stop) in characters of the leftmost matches of ``pattern``.
 
@@ -57,21 +82,29 @@ def _positions(text, pattern, group, least, kind_no):
     sized = lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))
     gaps = lengths(F.split(text, pattern, -1))
     steps = F.zip_with(
-        F.zip_with(gaps, whole, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), sized,
+        F.zip_with(gaps, whole, lambda g, m: F.struct(g.alias("g"), F.coalesce(m, F.lit(0).cast("long")).alias("m"))), sized,
         lambda x, s: F.struct(x.g.alias("g"), x.m.alias("m"), s.alias("s")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
 
     def step(acc, x):
         begin = acc.at + x.g
-        end = begin + F.coalesce(x.m, F.lit(0))
+        end = begin + x.m
         one = F.array(F.struct(begin.alias("start"), F.lit(kind_no).alias("kind_no"), end.alias("stop")))
         return F.struct(
             end.alias("at"), F.when(x.s >= least, F.concat(acc.spans, one)).otherwise(acc.spans).alias("spans"))
 
-    spans = F.aggregate(steps, start, step, lambda acc: acc.spans)
+    def walk(block, base):
+        start = F.struct(base.alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+        return F.aggregate(block, start, step, lambda acc: acc.spans)
+
+    long = lambda block: F.aggregate(block, F.lit(0).cast("long"), lambda n, x: n + x.g + x.m)
+    spans = _by_blocks(steps, long, lambda a, b: a + b, walk)
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
+def _last_stop(block):
+    return F.aggregate(block, F.lit(0).cast("long"), lambda n, s: F.greatest(n, s.stop))
+
+
 def _tail(z):
     """P(N(0, 1) > z) for z >= 0, by the Abramowitz-Stegun polynomial; at least 1e-15."""
     t = 1 / (1 + 0.2316419 * z)
@@ -79,11 +112,6 @@ def _tail(z):
     return F.greatest(F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * poly, F.lit(1e-15))
 
 
-def _let(value, body):
-    """``body`` of a value that is worked out once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def battery(token):
     """Evidence against randomness of a string: about chi-squared with 6 degrees if it is random.
 
@@ -214,12 +242,29 @@ def secret_spans(docs, text_col="text", rate=RATE):
     if limits:
         likely = lambda token: _let(token, lambda x: F.floor(battery(x)) <= _limit(x, limits))
         tokens = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-        pairs = F.zip_with(
-            _positions(text, CANDIDATE, 0, 16, 3), tokens, lambda s, t: F.struct(s.alias("span"), t.alias("token")))
-        covered = lambda s: F.exists("__span_base", lambda b: (b.start <= s.start) & (s.stop <= b.stop))
-        found = F.transform(
-            F.filter(pairs, lambda p: p.span.isNotNull() & ~p.token.rlike(DECOY) & ~covered(p.span) & likely(p.token)),
-            lambda p: p.span)
+        named = lambda s, t: F.struct(s.start.alias("start"), s.kind_no.alias("kind_no"), s.stop.alias("stop"), t.alias("token"))
+        likeliest = F.filter(
+            F.zip_with(_positions(text, CANDIDATE, 0, 16, 3), tokens, lambda s, t: F.when(s.isNotNull(), named(s, t))),
+            lambda p: p.isNotNull() & ~p.token.rlike(DECOY))
+        both = F.array_sort(F.concat(
+            F.transform("__span_base", lambda s: named(s, F.lit(None).cast("string"))), likeliest))
+        # In order of start, fixed spans first: a candidate is covered if a fixed span so far reaches its stop.
+        fixed = lambda p: F.when(p.kind_no < 3, p.stop).otherwise(0)
+        reach = lambda block: F.aggregate(block, F.lit(0).cast("long"), lambda n, p: F.greatest(n, fixed(p)))
+
+        def walk(block, base):
+            start = F.struct(base.alias("at"), none.alias("spans"))
+
+            def step(acc, p):
+                at = F.greatest(acc.at, fixed(p))
+                span = F.struct(p.start.alias("start"), p.kind_no.alias("kind_no"), p.stop.alias("stop"))
+                new = (p.kind_no == 3) & (at < p.stop) & F.coalesce(likely(p.token), F.lit(False))
+                return F.struct(
+                    at.alias("at"), F.when(new, F.concat(acc.spans, F.array(span))).otherwise(acc.spans).alias("spans"))
+
+            return F.aggregate(block, start, step, lambda acc: acc.spans)
+
+        found = _by_blocks(both, reach, F.greatest, walk)
         found = F.when(text.rlike(CANDIDATE), found).otherwise(none)
     return marked.withColumn("secret_spans", F.array_sort(F.concat("__span_base", found))).drop(*names, "__span_base")
 
@@ -246,17 +291,30 @@ def redact_secrets(docs, text_col="text", mark="[SECRET]", chars_col="n_chars",
     ``chars_col``, if there is such a column, is set anew where the text changed.
     """
     marked = secret_spans(docs, text_col, rate)
-    text, long = F.col(text_col), lambda n: F.lit(n).cast("long")
-    start = F.struct(long(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    text, spans = F.col(text_col), F.col("secret_spans")
 
-    def step(acc, s):
-        fresh = F.concat(acc.parts, F.array(
-            F.substring(text, (acc.at + 1).cast("int"), (s.start - acc.at).cast("int")), F.lit(mark)))
-        return F.struct(
-            F.greatest(acc.at, s.stop).alias("at"), F.when(s.start >= acc.at, fresh).otherwise(acc.parts).alias("parts"))
+    def walk(block, base):
+        """The text from where the spans before end to where these end; positions count from there, so a long text is cut once a block."""
+        stop = F.greatest(base, _last_stop(block))
+        here = F.substring(text, (base + 1).cast("int"), (stop - base).cast("int"))
+
+        def parts(piece):
+            start = F.struct(base.alias("at"), F.array().cast("array<string>").alias("parts"))
+
+            def step(acc, s):
+                fresh = F.concat(acc.parts, F.array(
+                    F.substring(piece, (acc.at - base + 1).cast("int"), (s.start - acc.at).cast("int")), F.lit(mark)))
+                return F.struct(
+                    F.greatest(acc.at, s.stop).alias("at"), F.when(s.start >= acc.at, fresh).otherwise(acc.parts).alias("parts"))
+
+            return F.aggregate(block, start, step, lambda acc: acc.parts)
+
+        return _let(here, parts)
 
-    clean = F.aggregate("secret_spans", start, step, lambda acc: F.concat(
-        F.array_join(acc.parts, ""), F.substring(text, (acc.at + 1).cast("int"), F.char_length(text))))
+    end = _last_stop(spans)
+    clean = F.concat(
+        F.array_join(_by_blocks(spans, _last_stop, F.greatest, walk), ""),
+        F.substring(text, (end + 1).cast("int"), F.char_length(text)))
     hit = F.size("secret_spans") > 0
     marked = marked.withColumn("__clean", F.when(hit, clean))
     changed = {text_col: F.coalesce("__clean", text_col)}
