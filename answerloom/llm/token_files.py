@@ -81,7 +81,7 @@ def repair(ids, ends, max_rules=1 << 24):
     left, right = [], []
     while len(symbols) > 1 and len(left) < max_rules:
         at = np.flatnonzero(alive[:-1])
-        a, b = symbols[at], symbols[at + 1]
+        a, b = symbols.take(at), symbols.take(at + 1)
         double = np.flatnonzero(a == b)
         if len(double):
             single = np.ones(len(at), bool)
@@ -99,19 +99,19 @@ def repair(ids, ends, max_rules=1 << 24):
         slot = lambda key: (key * spread) >> symbols.dtype.type(12 if narrow else 44)
         known = np.zeros(1 << 20, bool)
         known[slot(pairs)] = True
-        alive[at[~known[slot(keys)]]] = False
+        alive[at[~known.take(slot(keys))]] = False
 
         new = np.array(_chosen(pairs.astype(np.int64), int(shift), counts, max_rules - len(left)), np.int64)
         is_left, is_right = np.zeros((2, first + len(left)), bool)
         is_left[new[:, 0]] = True
         is_right[new[:, 1]] = True
-        maybe = np.flatnonzero(is_left[a] & is_right[b])
+        maybe = np.flatnonzero(is_left.take(a) & is_right.take(b))
         chosen = (new[:, 0] << int(shift) | new[:, 1]).astype(symbols.dtype)
         rank = np.argsort(chosen)
         chosen = chosen[rank]
-        found = np.minimum(np.searchsorted(chosen, keys[maybe]), len(new) - 1)
-        hit = chosen[found] == keys[maybe]
-        place = at[maybe[hit]]
+        found = np.minimum(np.searchsorted(chosen, keys.take(maybe)), len(new) - 1)
+        hit = chosen[found] == keys.take(maybe)
+        place = at.take(maybe[hit])
         symbols[place] = first + len(left) + rank[found[hit]]
         ends[place] = ends[place + 1]
         alive[place] = ~ends[place]
