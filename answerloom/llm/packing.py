@@ -67,7 +67,7 @@ def _cut(key, model, capacity, with_ids, batches):
 
     from answerloom.llm.textscan import kept, pieces, text_bytes
 
-    known, task = kept(("ids", key), lambda: ChunkIds(model.value, WORD)), TaskContext.get().partitionId()
+    known, task = kept(("ids", key), lambda: ChunkIds(model.value, WORD, limit=300_000)), TaskContext.get().partitionId()
     seen = np.zeros(capacity + 1, np.int64)
     for batch in batches:
         for part in pieces(batch, size=4_000_000):
