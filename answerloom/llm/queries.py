@@ -8,7 +8,7 @@ from answerloom.llm.decontamination import leaks
 from answerloom.llm.packing import pack_documents
 from answerloom.llm.pseudonyms import pseudonymise
 from answerloom.llm.secret_scan import describe, secret_spans
-from answerloom.llm.string_kernel import fit, labelled_sample, toxicity_scores
+from answerloom.llm.string_kernel import learn, toxicity_scores
 from answerloom.llm.superminhash import near_duplicates
 from answerloom.llm.token_files import read_token_files, write_token_files
 from answerloom.llm.turn_repair import damage, repair_conversations
@@ -126,7 +126,7 @@ def _held_out(id_col):
 @query()
 def op4_string_kernel(spark, sf_dir):
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    model = fit(*labelled_sample(docs, labels.where(~_held_out("doc_id"))))
+    model = learn(docs, labels.where(~_held_out("doc_id")))
     return toxicity_scores(docs, model).select(
         "doc_id", _held_out("doc_id").alias("held_out"), "score",
         F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))

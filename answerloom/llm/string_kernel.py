@@ -1,5 +1,6 @@
 """Toxicity by a subsequence-kernel support vector machine with Nyström landmarks."""
 
+import pickle
 import re
 import unicodedata
 from functools import lru_cache, partial
@@ -18,8 +19,10 @@ LANDMARKS, ROUNDS = 160, 2
 #: A text is judged by so many of its units, whose values count from FLOOR up.
 BEST, FLOOR = 3, -0.5
 #: Log-likelihood ratio (chi-squared, one degree) that a first piece of evidence must reach.
-SIGNIFICANT = 28
+SIGNIFICANT = 15
 
+#: Bytes of a UTF-8 character by its first byte.
+LETTER_BYTES = np.repeat([1, 2, 3, 4], [0xC0, 0x20, 0x10, 0x10])
 #: Characters that stand in for letters.
 LOOKALIKE = str.maketrans("01345@$7!|", "oieasastii")
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -53,8 +56,11 @@ def _paths(length):
 
 
 def encode(unit):
-    """Symbol numbers of a folded unit between its end marks; none if it has no two letters."""
-    codes = [ord(c) - 96 if "a" <= c <= "z" else OTHER for c in unit]
+    """Symbol numbers of a folded unit between its end marks; none if it has no two letters.
+
+    Letters of other scripts share the 26 letter symbols by their code point, so neighbours in an alphabet differ.
+    """
+    codes = [ord(c) - 96 if "a" <= c <= "z" else 1 + ord(c) % 26 if c.isalpha() else OTHER for c in unit]
     if sum(c != OTHER for c in codes) < 2:
         return []
     codes = [BEGIN, *codes, END]
@@ -341,7 +347,7 @@ def _row_scores(model, memo, column):
         slots = memo.find(span_hashes(own, starts, ends, lower=True), lambda new: memo.values.extend(
             unit_scores(model, [fold(own[starts[i]:ends[i]].tobytes().decode()) for i in new.tolist()])))
         found = [(row, memo.values.array[slots])]
-        single = np.flatnonzero((ends - starts == 1) | ((ends - starts == 2) & (own[starts] == 0xC3)))
+        single = np.flatnonzero(ends - starts == LETTER_BYTES[own[starts]])
         runs = np.split(single, np.flatnonzero((np.diff(single) != 1) | (np.diff(row[single]) != 0)) + 1)
         for run in runs:
             if len(run) > 2:
@@ -385,23 +391,47 @@ def _clean_rows(model, column, limit, batches):
             yield part.filter(pa.array(_row_scores(model.value, memo, part.column(at)) < limit))
 
 
-def labelled_sample(docs, labels, id_col="doc_id", text_col="text", label_col="toxic", toxic_rows=1_000, clean_rows=2_000):
-    """At most so many texts of either label, by the hash of their id: ``(texts, labels)``.
-
-    The bound holds for the classifier's training alone. Only ids are sorted; the
-    chosen ids (no more than the bound) are broadcast to one scan of the texts.
-    An id with several label rows counts as toxic if one says so.
-    """
+def _sample_rows(docs, labels, id_col, text_col, label_col, toxic_rows, clean_rows):
     one = labels.where(f"{id_col} IS NOT NULL AND {label_col} IS NOT NULL").groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).alias("y"))
     order = [F.xxhash64("id"), "id"]
     chosen = one.where("y = 1").orderBy(*order).limit(toxic_rows).unionByName(
         one.where("y = 0").orderBy(*order).limit(clean_rows))
-    rows = (
-        docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-        .join(F.broadcast(chosen), "id").orderBy("id", "text").toArrow()
-    )
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(
+        F.broadcast(chosen), "id").select("id", "text", (F.col("y") == 1).alias("toxic"))
+
+
+def labelled_sample(docs, labels, id_col="doc_id", text_col="text", label_col="toxic", toxic_rows=2_000, clean_rows=4_000):
+    """At most so many texts of either label, by the hash of their id: ``(texts, labels)`` at the driver.
+
+    The bound holds for the classifier's training alone. Only ids are sorted; the
+    chosen ids (no more than the bound) are broadcast to one scan of the texts.
+    An id with several label rows counts as toxic if one says so. ``learn`` fits without the driver.
+    """
+    rows = _sample_rows(docs, labels, id_col, text_col, label_col, toxic_rows, clean_rows).orderBy("id", "text").toArrow()
     # Texts are taken out of the Arrow table one by one.
-    return (t.as_py() for t in rows.column("text")), [y == 1 for y in rows.column("y").to_pylist()]
+    return (t.as_py() for t in rows.column("text")), rows.column("toxic").to_pylist()
+
+
+def _fit_batches(batches):
+    import pyarrow as pa
+
+    columns = [(batch.column(1), batch.column(2)) for batch in batches]
+    texts = (t.as_py() for texts, _ in columns for t in texts)
+    model = fit(texts, [y for _, toxic in columns for y in toxic.to_pylist()])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+
+def learn(docs, labels, id_col="doc_id", text_col="text", label_col="toxic", toxic_rows=2_000, clean_rows=4_000):
+    """The model of ``fit`` from the sample of ``labelled_sample``, fitted by one task.
+
+    That task reads at most ``toxic_rows + clean_rows`` documents (more only where ids repeat),
+    whatever the size of the corpus; the driver receives the model (4 MB), never a text.
+    Empty tables, and labels of one kind only, give None.
+    """
+    ship_package(docs.sparkSession)
+    rows = _sample_rows(docs, labels, id_col, text_col, label_col, toxic_rows, clean_rows)
+    fitted = rows.repartition(1).sortWithinPartitions("id", "text").mapInArrow(_fit_batches, "model binary").collect()
+    return pickle.loads(fitted[0]["model"]) if fitted else None
 
 
 def toxicity_scores(docs, model, id_col="doc_id", text_col="text"):

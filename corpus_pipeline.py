@@ -5,7 +5,7 @@ import public_tokenizers
 from answerloom.llm.decontamination import drop_leaks
 from answerloom.llm.packing import pack_documents
 from answerloom.llm.secret_scan import redact_secrets
-from answerloom.llm.string_kernel import drop_toxic, fit, labelled_sample
+from answerloom.llm.string_kernel import drop_toxic, learn
 from answerloom.llm.superminhash import drop_near_duplicates
 from answerloom.session import work_dir
 
@@ -13,7 +13,7 @@ from answerloom.session import work_dir
 def toxicity(spark, docs, sf_dir):
     """Documents that score 0.7 or more go; the classifier learns from labelled ones of this input."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return drop_toxic(docs, fit(*labelled_sample(docs, labels)))
+    return drop_toxic(docs, learn(docs, labels))
 
 
 def near_dedup(spark, docs, sf_dir):

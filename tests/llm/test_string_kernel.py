@@ -96,3 +96,23 @@ def test_held_out_accuracy(spark):
     # Some clean French and German texts of this table hold the other languages' insults by chance.
     wrong = [r.predicted for r, y in held if not y and lang[r.doc_id] == "en"]
     assert np.mean(hits) > 0.85 and np.mean(wrong) < 0.002 and np.mean(false) < 0.02, (np.mean(hits), np.mean(wrong), np.mean(false))
+
+
+def test_letters_of_other_scripts_count(spark):
+    texts, toxic, say = made()
+    swap = {"blockhead": "придурок", "numbskull": "болван", "dimwit": "негодяй"}
+    texts = [" ".join(swap.get(w, w) for w in t.split()) for t in texts]
+    model = sk.fit(texts, toxic)
+    rows = [(i, " ".join(say(30) + [w] + say(30))) for i, w in enumerate(["придурок", "Болван!", "п р и д у р о к", "картина", "подробно"])]
+    got = {r.doc_id: r.score for r in sk.toxicity_scores(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert all(got[i] >= 0.7 for i in (0, 1, 2)) and all(got[i] < 0.5 for i in (3, 4)), got
+
+
+def test_learning_in_a_task_equals_fitting_the_sample(spark):
+    texts, toxic, _ = made()
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "x"), (900, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(y)) for i, y in enumerate(toxic)] + [(900, 0), (None, 1)], "doc_id long, toxic int")
+    model = sk.learn(docs.repartition(4), labels)
+    want = sk.fit(*sk.labelled_sample(docs, labels))
+    assert np.allclose(model["primal"], want["primal"], atol=1e-5) and np.allclose(model["weights"], want["weights"], atol=1e-4)
+    assert sk.learn(docs, labels.where("toxic = 0")) is None and sk.learn(docs.limit(0), labels) is None
