@@ -109,7 +109,7 @@ def _landmark_kernel(units, landmarks):
     for i, row, weights in cells:
         np.add.at(table[:, i], column[row], weights)
     kernel = np.zeros((len(units), len(landmarks)), np.float32)
-    for owner, features, weights in _batches(units, 200):
+    for owner, features, weights in _batches(units, 50):
         values = np.einsum("ufm,f->um", table[column[features]], weights)
         kernel[owner] = np.maximum(kernel[owner], values)
     return kernel, cells
@@ -415,6 +415,9 @@ def labelled_sample(docs, labels, id_col="doc_id", text_col="text", label_col="t
 def _fit_batches(batches):
     import pyarrow as pa
 
+    from answerloom.llm.textscan import forget
+
+    forget()
     columns = [(batch.column(1), batch.column(2)) for batch in batches]
     texts = (t.as_py() for texts, _ in columns for t in texts)
     model = fit(texts, [y for _, toxic in columns for y in toxic.to_pylist()])

@@ -173,6 +173,11 @@ def kept(key, make):
     return _KEPT[key]
 
 
+def forget():
+    """Drop what this worker process keeps, before a task that needs the memory for something else."""
+    _KEPT.clear()
+
+
 class Pool:
     """A growing array."""
 
