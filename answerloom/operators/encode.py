@@ -14,7 +14,8 @@ from answerloom.operators.tokenizer import SPECIALS, segments, token_bytes
 from answerloom.session import ship_package
 
 IDS = T.ArrayType(T.IntegerType(), False)
-CACHED_WORDS = 500_000
+CACHED_WORDS = 500_000  # words a task remembers,
+CACHED_IDS = 4_000_000  # and their ids
 
 
 class _Words:
@@ -45,7 +46,7 @@ class _Words:
 
     def slots(self, words):
         """Slot numbers of distinct words, after encoding those not met before."""
-        if len(self.slot) > CACHED_WORDS:
+        if len(self.slot) > CACHED_WORDS or len(self.flat) > CACHED_IDS:
             self._forget()
         new = [w for w in words if w not in self.slot]
         if new:

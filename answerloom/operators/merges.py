@@ -20,7 +20,8 @@ from answerloom.session import delete_path, ship_package, work_dir
 GUESS_WORDS = 200_000  # words of the sample that guesses are made from
 AT_ONCE = 512  # merges guessed in a round
 MAX_PENDING = 1_024  # merges replayed before the words are written anew
-WORDS_AT_ONCE = 200_000  # words indexed together by a task
+WORDS_AT_ONCE = 200_000  # words indexed together by a task,
+SYMBOLS_AT_ONCE = 1_000_000  # or so many symbols, whichever is reached first
 
 
 def every_other(places):
@@ -191,13 +192,16 @@ def _guess(sample, exact, vocab, most):
 
 
 def _word_blocks(batches):
-    words, counts = [], []
+    """Words and counts in blocks bounded by words and by symbols, so that long words take no more memory."""
+    words, counts, symbols = [], [], 0
     for batch in batches:
-        words += batch.column(0).to_pylist()
-        counts += batch.column(1).to_pylist()
-        if len(words) >= WORDS_AT_ONCE:
-            yield words, counts
-            words, counts = [], []
+        for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words.append(word)
+            counts.append(n)
+            symbols += len(word)
+            if len(words) >= WORDS_AT_ONCE or symbols >= SYMBOLS_AT_ONCE:
+                yield words, counts
+                words, counts, symbols = [], [], 0
     if words:
         yield words, counts
 

@@ -94,3 +94,24 @@ def test_two_thousand_tokens_equal_the_library(spark):
     assert [t for t, _ in sorted(tok.get_vocab().items(), key=lambda kv: kv[1])] == list(model.tokens)
     # All words fit in the sample, so guesses are right and a round is 512 merges.
     assert rounds == [4]
+
+
+def test_word_blocks_are_bounded_by_symbols():
+    import pyarrow as pa
+    from answerloom.operators import merges as mg
+
+    words = ["x" * 5_000] * 1_000 + ["y" * 3] * 1_000
+    batches = [pa.RecordBatch.from_pydict({"word": words[i:i + 500], "n": list(range(i, i + 500))}) for i in range(0, 2_000, 500)]
+    blocks = list(mg._word_blocks(batches))
+    assert [w for ws, _ in blocks for w in ws] == words and [n for _, ns in blocks for n in ns] == list(range(2_000))
+    assert max(sum(map(len, ws)) for ws, _ in blocks) < mg.SYMBOLS_AT_ONCE + 5_000
+
+
+def test_remembered_words_are_bounded_by_ids(monkeypatch):
+    from answerloom.operators import encode as en
+
+    monkeypatch.setattr(en, "CACHED_IDS", 1_000)
+    known = en._Words(["<pad>", "<unk>", *en.SPECIALS[2:], *"abc"], [])
+    for i in range(50):
+        slots = known.slots([f"{'abc'[i % 3] * 90}{'ab' * i}"])
+        assert known.sizes[slots[0]] == 90 + 2 * i and len(known.flat) < 1_000 + 200
