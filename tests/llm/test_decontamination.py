@@ -94,3 +94,49 @@ def test_plan_has_no_python(spark):
     plan = de.leaks(docs, items)._jdf.queryExecution().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
     assert np.all([name in plan for name in ("BroadcastHashJoin", "Generate")])
+
+
+def test_only_small_rows_travel(spark, monkeypatch):
+    docs, items = made()
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    saved, cut = {}, de.cut_lineage
+
+    def noted(df, name):
+        out = cut(df, name)
+        saved[name] = (out, str(df._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(de, "cut_lineage", noted)
+    for bound in (de.BROADCAST_SEEDS, 0):
+        monkeypatch.setattr(de, "BROADCAST_SEEDS", bound)
+        plan = str(de.leaks(frame, bench)._jdf.queryExecution().executedPlan().toString())
+        assert plan.count("SortMergeJoin") == (bound == 0)  # with the items, by their number
+        # A diagonal is compared once, however many windows lie on it.
+        places, before = saved["leak-places"]
+        rows = [(r.text_key, r.item, at) for r in places.collect() for at in r.ats]
+        assert rows and len(rows) == len(set(rows)) and all(r.n <= 60 for r in places.collect())
+        assert "getbit" in before.lower()  # windows are sorted out before they meet the seeds
+    de.drop_leaks(frame, bench)
+    leaking = saved["leaking-texts"][0]
+    assert leaking.columns == ["__gone"] and leaking.count()
+    kept = de.drop_leaks(frame, bench)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in kept and "SortMergeJoin" not in kept
+
+
+def test_the_filter_of_seeds_loses_none(spark, monkeypatch):
+    seeds = spark.range(20_000).selectExpr("xxhash64(id) AS seed")
+    others = spark.range(20_000, 60_000).selectExpr("xxhash64(id) AS seed")
+    for bits, most in ((de.FILTER_BITS, 0.004), (1 << 16, 0.4)):
+        monkeypatch.setattr(de, "FILTER_BITS", bits)
+        held = de._may_be_in(seeds, 20_000)
+        assert seeds.where(held).count() == 20_000 and others.where(held).count() <= most * 40_000
+    assert others.where(de._may_be_in(seeds.limit(0), 0)).count() == 0
+
+
+def test_two_texts_of_one_item(spark):
+    long, short = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(9))
+    bench = spark.createDataFrame([(1, long), (1, short)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(long.split()[25:])), (2, short), (None, long)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.score, r.item_words, r["at"]) for r in de.leaks(docs, bench).collect()}
+    assert got == {(1, 1, 15, 40, -25), (2, 1, 9, 9, 0), (None, 1, 40, 40, 0)}
